@@ -7,19 +7,112 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
-from plumbline.llm.session import table
+from plumbline.llm import chat, decontaminate, language_id, mixing, quality, simhash, suffix_tree, token_files, url_filters, warc
+from plumbline.llm.session import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The tokenizers file of op8, by its name in the public collection.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+URL_RULES = [
+    url_filters.Rule("allow", "org/"),
+    url_filters.Rule("block", "example.org/es/"),
+    url_filters.Rule("block", "example.org/en/1"),
+    url_filters.Rule("allow", "com/fr/"),
+    url_filters.Rule("block", "com/de/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_filters.mine(url_filters.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_filters.judge(pages, URL_RULES, mined)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    net = language_id.train(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return language_id.identify(docs, net, ["doc_id", "held_out"])
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), []).drop("copies")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least=0)
+    found = warc.read_archives(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality.measure(docs, quality.fit(docs, trusted), ["doc_id"])
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(control).alias("text"))
+                    for i, role in enumerate(("user", "assistant"))
+                ]
+            )
+        )
+    )
+    return chat.digests(chat.format_events(chat.turns_as_events(turns.unionByName(more))))
+
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    rows = token_files.with_starts(token_files.read_token_files(spark, path, digest=True))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = suffix_tree.remainder(F.col("doc_id"), 5) == 1
+    return suffix_tree.score_corpus(table(spark, sf_dir, "documents"), held_out)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_simhash_near_dedup,)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_url_filters,
+            op2_language_id,
+            op3_mixing,
+            op4_warc,
+            op5_quality_rules,
+            op6_chat_format,
+            op7_simhash_near_dedup,
+            op8_token_files,
+            op9_suffix_tree_lm,
+            op10_decontamination,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,15 +84,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             offs = part.offs.tolist()
             for k in range(part.n_docs):
                 out[part.first + k] = fingerprint(data[offs[k] : offs[k + 1]].split())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"]
+        )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, text) -> (doc_id, fp, text_hash): fp holds the 64 bits as a signed long, text_hash is xxhash64 of the text."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _term(fp: Column, positions: tuple[int, ...]) -> Column:
@@ -226,7 +228,7 @@ def links(distinct: DataFrame, short: int = 512, split: int = 1 << 17) -> DataFr
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> one row (doc_id, fp, component_id) per row of docs.
+    """(doc_id, text, ...) -> one row (doc_id, fp, component_id, text_hash) per row of docs.
 
     Texts: A-Z lower-cased, words, 3-word shingles with repeats (fewer words: the whole
     sequence), XXH64 with seed 42; a bit is set if it is set in over half the hashes.  A
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = written(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -252,14 +254,20 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id.
+    """docs with one document of each component: that with the least doc_id (null last).
 
-    Rows with an equal doc_id and text are one document and stay once; of unlike texts
-    with an equal least doc_id, the one that hashes lowest stays.  Rows without a doc_id
-    cannot be told from each other and stay only if their component has no other id.
+    Of unlike texts with that doc_id the one that hashes lowest stays; of rows with the same
+    doc_id and text, one.  A component is told by its least doc_id; documents without any
+    doc_id form one component for each fingerprint.
     """
     found = near_duplicates(docs)
-    keep = found.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_least")).where("_id <=> _least").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    cols = [F.col(c) for c in docs.columns]
-    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*cols), F.xxhash64(F.coalesce("text", F.lit("")))).alias("_row")).select("_row.*")
+    null = F.col("doc_id").isNull()
+    first = F.min(F.struct(null.alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text")))
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    keep = found.groupBy("component_id", alone.alias("_alone")).agg(first.alias("_k")).select("_k.*")
+    marked = docs.withColumns(
+        {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text": F.xxhash64(F.col("text").cast("string"))}
+    )
+    kept = marked.join(keep, ["_null", "_id", "_text"], "left_semi")
+    row = F.first(F.struct(*[F.col(c) for c in docs.columns]))
+    return kept.groupBy("_null", "_id", "_text").agg(row.alias("_row")).select("_row.*")
