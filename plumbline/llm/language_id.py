@@ -1,8 +1,8 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 Both directions are gated recurrent units, trained in numpy by backpropagation through
-time.  The network reads a text in segments: a word with the space before it, and long
-words in pieces of PIECE bytes.  The state starts anew in each segment; every position
+time.  The network reads a text, A-Z lower-cased, in segments: its words, the long ones in
+pieces of PIECE bytes.  The state starts anew in each segment; every position
 gets a distribution over the languages from both directions' states, and a document's
 distribution is the mean over all its positions.
 
@@ -217,7 +217,7 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network, carried: list[str]
     labeller = Labeller(net)
     for batch in batches:
         names, scores = [], []
-        for part in ts.slices(batch.column(0)):
+        for part in ts.slices(batch.column(0), lower=True):
             pooled, length = labeller.documents(part)
             letters = ts.per_doc(_ASCII_LETTER[part.buf], part.offs) if len(part.buf) else np.zeros(part.n_docs)
             best = pooled.argmax(axis=1)
@@ -253,7 +253,7 @@ def train(labelled: DataFrame, each: int = 250, most_bytes: int = 1 << 20, **fit
         return None
     number, used = {x: i for i, x in enumerate(languages)}, dict.fromkeys(languages, 0)
     seen: dict[int, list] = {}
-    for part in ts.slices(rows.column("text")):
+    for part in ts.slices(rows.column("text"), lower=True):
         a, b, first = _segments(part)
         for i in range(part.n_docs):
             lang = langs[part.first + i]
