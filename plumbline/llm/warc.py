@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,10 +120,12 @@ def records(page_id: int | None, url: str | None, payload: bytes, revisits: int
 
 
 def _writer(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
+    task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         out, size = [], 0
-        for page_id, url, payload, revisits, row in zip(*(c.to_pylist() for c in batch.columns)):
-            for r in records(page_id, url, payload or b"", revisits, row, segment):
+        for page_id, url, payload, revisits in zip(*(c.to_pylist() for c in batch.columns)):
+            n += 1  # record ids differ even for repeated rows; only one attempt of a task is committed
+            for r in records(page_id, url, payload or b"", revisits, f"{task}/{n}", segment):
                 out.append(r)
                 size += len(r)
             if size > 1 << 24:
@@ -148,7 +151,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     first = first.where((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "n", "first")
     joined = rows.join(first, ["digest", "n"], "left")
     revisits = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    ready = joined.select("page_id", "url", "payload", revisits.alias("revisits"), F.concat_ws("/", "digest", F.coalesce("url", F.lit(""))).alias("row"))
+    ready = joined.select("page_id", "url", "payload", revisits.alias("revisits"))
     made = ready.mapInArrow(lambda b: _writer(b, segment), "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", PER_FILE).text(path)
 
