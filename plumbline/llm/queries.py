@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, language_id, mixing, quality, simhash, suffix_tree, token_files, url_filters, warc
+from plumbline.llm import chat, decontaminate, language_id, mixing, quality, simhash, sql, suffix_tree, token_files, url_filters, warc
 from plumbline.llm.session import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,4 +116,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others train a model, tokenize, or hash with XXH64; tests/llm hold them against brute force."""
+    return {
+        "op3_mixing": sql.OP3_MIXING,
+        "op4_warc": sql.OP4_WARC,
+        "op6_chat_format": sql.OP6_CHAT,
+        "op10_decontamination": sql.OP10_DECONTAMINATION,
+    }
