@@ -64,7 +64,7 @@ def decode_loose(raw: bytes, expected: bytes | None = None, hash_size: int = 20,
         return out
     stream = zlib.decompressobj()
     try:
-        data = stream.decompress(raw, 1 << 16)
+        data = stream.decompress(raw, MAX_HEADER)
     except zlib.error as e:
         out.errors.append(f"unable to unpack header: {e}")
         return out
