@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import model
 from plumbline.functions import checks, content
+from plumbline.shared import ship
 from plumbline.sources import codecs
 
 
@@ -34,6 +35,7 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a loose object, written and read; every tenth with its last byte changed, which must be noticed."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("b"))
     docs = docs.where(F.octet_length("text") >= 64)  # in shorter ones the damage already shows in the header
     return docs.mapInArrow(_loose, "doc_id long, oid string, typ string, size long, failed boolean")
@@ -61,6 +63,7 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a delta on its neighbour's, applied again: the names must be those of the texts."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("base"))
     return docs.join(base, "doc_id", "left").select("doc_id", "base", "text").mapInArrow(_deltas, "doc_id long, oid string, delta_bytes long").select("doc_id", "oid")
@@ -83,6 +86,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tree_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as a tree object, encoded and decoded: entries in path order."""
+    ship(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     entry = F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
     trees = orders.groupBy("o_custkey").agg(F.collect_list(entry).alias("e"))
@@ -101,6 +105,7 @@ def _idents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def commit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a commit object, some of them malformed: the first complaint about each."""
+    ship(spark)
     key = F.col("o_orderkey")
     fault = key % 8
     name = F.when(fault == 1, F.lit("A<a@x>")).when(fault == 2, F.lit("A a@x")).when(fault == 3, F.lit("<a@x>")).otherwise(F.lit("A <a@x>"))
@@ -124,6 +129,7 @@ def _configs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a configuration text: its entries."""
+    ship(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = F.concat(F.lit('[user "'), F.col("user_id").cast("string"), F.lit('"]\n\tEvent = "'), F.col("event_type"), F.lit('" ; note\n\tbare\n'))
     return e.select("event_id", text.alias("text")).mapInArrow(_configs, "event_id long, key string, value string, line long, broken boolean")
@@ -139,6 +145,7 @@ def _ladders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def submodule_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls by the rules for submodules and for ref names."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").mapInArrow(_ladders, "page_id long, url_ok boolean, name_ok boolean")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plumbline.shared import written
+from plumbline.shared import ship, written
 from plumbline.sources import codecs
 
 OBJECTS = "oid binary, typ string, size long, body binary, source string, errors array<string>, failed boolean"
@@ -76,6 +76,7 @@ def _decode_loose(batches: Iterator[pa.RecordBatch], hash_size: int, big: int) -
 
 def loose(spark: SparkSession, dirs: list[str], hash_size: int = 20, big: int = 512 << 20) -> DataFrame:
     """Loose objects, decoded and hashed: one row a file whose name is a whole object name."""
+    ship(spark)
     files = [f"{d}/??/*" for d in dirs if any(len(x) == 2 and os.listdir(os.path.join(d, x)) for x in os.listdir(d) if os.path.isdir(os.path.join(d, x)))]
     if not files:
         return spark.createDataFrame([], OBJECTS)
@@ -142,6 +143,7 @@ class PackIndexReader(DataSourceReader):
 
 def pack_index(spark: SparkSession, dirs: list[str], hash_size: int = 20) -> DataFrame:
     """pack, pos, oid, off, crc, end (the next entry's offset): every pack's index rows; one row with an error for a pack that cannot be opened."""
+    ship(spark)
     spark.dataSource.register(PackIndexSource)
     paths = sorted(str(p) for d in dirs for p in Path(d, "pack").glob("*.idx"))
     return spark.read.format("packidx").option("paths", "\n".join(paths)).option("hashSize", hash_size).load()
