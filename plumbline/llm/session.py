@@ -1,60 +1,12 @@
-"""What the operators need from the session: a shared folder, and their own code on the executors."""
+"""What the operators need from the session; shared with the rest of the library."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import weakref
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: "weakref.WeakSet" = weakref.WeakSet()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (a local test session) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again.
-
-    This cuts the lineage: an executor that is lost afterwards takes nothing with it,
-    and Spark plans what follows with the table's true size.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from plumbline.shared import shared_dir, shared_path, ship, written
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if sc in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="plumbline-code-")) / f"{package.name}-{os.getpid()}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc)
+__all__ = ["shared_dir", "shared_path", "ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
