@@ -237,13 +237,21 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network, carried: list[str]
 def train(labelled: DataFrame, each: int = 250, most_bytes: int = 1 << 20, **fitting) -> Network | None:
     """(doc_id, text, lang) -> a network, or None if no row has a language and a word.
 
-    Fitted on a bounded sample: for each language the `each` rows whose doc_id hashes
-    lowest, up to most_bytes of their texts, cut between documents.  lang labels the rows
+    Fitted on a bounded sample: for each language the `each` doc_ids that hash lowest, up to
+    most_bytes of their texts, cut between documents.  lang labels the rows
     and is nothing that a prediction reads.
     """
-    ids = labelled.where("lang is not null").select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id"))
+    ids = labelled.where("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # of each language first a share of the hashes that holds about 4 * each rows, so that what
+    # meets in one task does not grow with the table
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    bound = F.lit(-1)
+    for r in sizes:
+        share = min(1.0, (4 * each + 64) / r["n"])
+        bound = F.when(F.col("lang") == r["lang"], F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).otherwise(bound)
+    low = ids.where(F.col("_h") <= bound).distinct()
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id").distinct()
+    chosen = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id").distinct()
     chosen = [r[0] for r in chosen.collect()]
     rows = labelled.where("lang is not null").where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", "text").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text")
     rows = rows.limit(len(chosen) * 4 + 1).toArrow()
