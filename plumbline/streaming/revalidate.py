@@ -18,16 +18,26 @@ def untrusted(now: DataFrame, trusted: DataFrame, key: tuple[str, ...] = KEY) ->
     return now.join(trusted.select(*key), list(key), "left_anti")
 
 
-def late_findings(events: DataFrame, time: str, wrong: Column, watermark: str = "1 hour", window: str = "10 minutes", by: str = "event_type") -> DataFrame:
-    """A stream's wrong records by event-time window and kind; a window closes when the watermark has passed it."""
-    marked = events.withWatermark(time, watermark)
+def _marked(events: DataFrame, time: str, watermark: str) -> DataFrame:
+    """events with a watermark on their time, which may lack a time zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
+
+
+def late_findings(
+    events: DataFrame, time: str, wrong: Column, watermark: str | None = "1 hour", window: str = "10 minutes", by: str = "event_type"
+) -> DataFrame:
+    """A stream's wrong records by event-time window and kind; a window closes when the watermark has passed it.
+
+    watermark None: the events have one already.
+    """
+    marked = _marked(events, time, watermark) if watermark else events
     counts = marked.groupBy(F.window(time, window), by).agg(F.count_if(wrong).alias("n_wrong"), F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), by, "n_wrong", "n")
 
 
 def first_seen(events: DataFrame, time: str, key: list[str], watermark: str = "1 hour") -> DataFrame:
     """Each record once, however often the stream repeats it within the watermark."""
-    return events.withWatermark(time, watermark).dropDuplicatesWithinWatermark(key)
+    return _marked(events, time, watermark).dropDuplicatesWithinWatermark(key)
 
 
 def revalidate(stream: DataFrame, trusted_path: str, findings_path: str, check, checkpoint: str, key: tuple[str, ...] = KEY):

@@ -21,7 +21,7 @@ def test_only_what_is_new_or_changed_is_checked(spark, tmp_path):
 def test_windows_of_findings(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "e")).schema).parquet(str(tmp_path / "e"))
-    found = rv.late_findings(rv.first_seen(stream, "ts", ["event_id"]), "ts", F.col("value") > 50)
+    found = rv.late_findings(rv.first_seen(stream, "ts", ["event_id"]), "ts", F.col("value") > 50, watermark=None)
     q = found.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     n = spark.sql("select sum(n), sum(n_wrong) from late").first()
