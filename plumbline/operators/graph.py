@@ -27,6 +27,35 @@ def reach(roots: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     raise RuntimeError("reach did not end")
 
 
+def named(roots: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """roots (node, name), edges (src, dst, ord, step) -> (node, level, name): how each reached node can be called.
+
+    A name is that of the node it was reached from with the step put behind it; a first
+    parent's step "^" after "~n" or "^" counts on ("~2").  Of several ways the shortest
+    counts, then the least name and ord, so names do not depend on the order of work.
+    """
+    first = roots.groupBy("node").agg(F.min("name").alias("name")).withColumn("level", F.lit(0).cast("long"))
+    frontier = written(first.select("node", "level", "name"), "named")
+    seen = frontier
+    for level in range(1, most + 1):
+        ways = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct("name", "ord", "step").alias("_w"))
+        best = ways.groupBy("node").agg(F.min("_w").alias("_w")).join(seen.select("node"), "node", "left_anti")
+        name, step = F.col("_w.name"), F.col("_w.step")
+        run = F.regexp_extract(name, r"~(\d+)$", 1)
+        counted = (
+            F.when((step == "^") & (run != ""), F.concat(F.regexp_replace(name, r"~\d+$", "~"), (F.try_to_number(run, F.lit("9" * 9)).cast("long") + 1).cast("string")))
+            .when((step == "^") & name.endswith("^"), F.concat(F.regexp_replace(name, r"\^$", ""), F.lit("~2")))
+            .otherwise(F.concat(name, step))
+        )
+        frontier = written(best.select("node", F.lit(level).cast("long").alias("level"), counted.alias("name")), "named")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = written(seen, "named")
+    raise RuntimeError("naming did not end")
+
+
 def verdicts(nodes: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node, present) -> (node, verdict) of those that a report names.
 

@@ -144,6 +144,13 @@ def roots(git_dir: str, options: model.Options, hash_size: int = 20) -> list[tup
     for path, mode, oid, _, _ in store.index_entries(git_dir, hash_size)[0]:
         if mode & 0o170000 != 0o160000:
             out.append((":" + path.decode("utf-8", "replace"), oid, "blob"))
+    index = Path(git_dir, "index")
+    extra = codecs.index_extensions(index.read_bytes(), hash_size) if index.is_file() else {}
+    for path, count, oid in codecs.parse_cache_tree(extra[b"TREE"], hash_size) or [] if b"TREE" in extra else []:
+        if count >= 0:
+            out.append((":" + path, oid, "tree"))
+    for path, stage, _, oid in codecs.parse_resolve_undo(extra[b"REUC"], hash_size) or [] if b"REUC" in extra else []:
+        out.append((f":{stage}:" + path.decode("utf-8", "replace"), oid, "blob"))
     return out
 
 
@@ -309,6 +316,21 @@ def _graph_rows(files: list[Path], copies: DataFrame, hash_size: int) -> list[tu
     return rows + [(r["oid"], "commitGraph", r["fault"], model.BIT_COMMIT_GRAPH) for r in bad.orderBy("oid").collect()]
 
 
+def steps(resolved: DataFrame, best: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links with what they add to a name: ^ and ^n for parents, : and / for paths, ^{} for a tag's target."""
+    own = edges.where("dst is not null").select("src", "dst", "ord", F.decode("name", "UTF-8").alias("path"), "implied")
+    typed = own.join(best.select(F.col("oid").alias("src"), F.col("typ").alias("_s")), "src").join(resolved.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    step = (
+        F.when(F.col("_s") == "tag", F.lit("^{}"))
+        .when((F.col("_s") == "commit") & (F.col("ord") == 0), F.lit(":"))
+        .when((F.col("_s") == "commit") & (F.col("ord") == 1), F.lit("^"))
+        .when(F.col("_s") == "commit", F.concat(F.lit("^"), F.col("ord").cast("string")))
+        .when(F.col("implied") == "tree", F.concat(F.col("path"), F.lit("/")))
+        .otherwise(F.col("path"))
+    )
+    return typed.select("src", "dst", "ord", step.alias("step"))
+
+
 def connectivity(best: DataFrame, edges: DataFrame, root_rows: DataFrame, options: model.Options) -> DataFrame:
     """missing, dangling and unreachable objects, and links to objects of another type."""
     good = edges.where("dst is not null").join(best.select(F.col("oid").alias("dst"), F.col("typ").alias("_t")), "dst", "left")
@@ -325,10 +347,14 @@ def connectivity(best: DataFrame, edges: DataFrame, root_rows: DataFrame, option
         shown |= {"dangling"}
     if options.unreachable:
         shown |= {"unreachable"}
-    rows = said.where(F.col("verdict").isin(sorted(shown))).select(F.lower(F.hex("node")).alias("oid"), "verdict", F.coalesce("typ", F.lit("unknown")).alias("typ"))
+    rows = said.where(F.col("verdict").isin(sorted(shown))).withColumn("label", F.lit(""))
+    if options.name_objects:
+        called = graph.named(root_rows.select(F.col("oid").alias("node"), "name"), steps(resolved, best, edges)).select("node", F.concat(F.lit(" ("), F.col("name"), F.lit(")")).alias("_n"))
+        rows = rows.drop("label").join(called, "node", "left").withColumn("label", F.coalesce("_n", F.lit("")))
+    rows = rows.select(F.lower(F.hex("node")).alias("oid"), "verdict", F.coalesce("typ", F.lit("unknown")).alias("typ"), "label")
     missing = F.col("verdict") == "missing"
     verdict = _finding(
-        rows, 5, F.concat(F.col("verdict"), F.lit(" "), F.col("typ"), F.lit(" "), F.col("oid")), F.when(missing, model.BIT_REACHABLE).otherwise(0),
+        rows, 5, F.concat(F.col("verdict"), F.lit(" "), F.col("typ"), F.lit(" "), F.col("oid"), F.col("label")), F.when(missing, model.BIT_REACHABLE).otherwise(0),
         severity=F.when(missing, model.ERROR).otherwise(model.INFO), msg=F.col("verdict"),
     )
     broken = _finding(wrong, 5, F.concat(F.lit("broken link from "), F.col("oid"), F.lit(" to "), F.col("dst"), F.lit(": not a "), F.col("implied")), F.lit(model.BIT_REACHABLE), grp=F.lit(1), msg=F.lit("brokenLink"))

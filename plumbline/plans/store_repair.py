@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import model
-from plumbline.operators import links
+from plumbline.functions import checks
+from plumbline.operators import graph, links
 from plumbline.plans import store_check
 from plumbline.sources import codecs, store
 
@@ -171,6 +172,63 @@ def newest_good(git_dir: str, name: str, readable: set[bytes], hash_size: int =
     return None
 
 
+def names_in(line: str) -> list[str]:
+    """The ref names that a line which cannot be read may have meant."""
+    return [w for w in line.split() if w.startswith("refs/") and checks.refname_ok(w)]
+
+
+def repair_packed_refs(git_dir: str, q: Quarantine, readable: set[bytes], peeled: dict[bytes, bytes], hash_size: int = 20) -> tuple[list[str], list[str]]:
+    """Rewrites packed-refs without its bad lines; the names in those come back from loose refs or history: (restored, lost)."""
+    path = Path(git_dir, "packed-refs")
+    if not path.is_file():
+        return [], []
+    data = path.read_bytes()
+    rows = codecs.parse_packed_refs(data, hash_size)
+    if not any(error == "badPackedRefEntry" for *_, error in rows):
+        return [], []
+    lines = data.split(b"\n")
+    kept = {name.decode("latin-1"): oid for _, kind, name, oid, _ in rows if kind == "entry"}
+    restored, lost = [], []
+    for line, kind, *_ in rows:
+        for name in names_in(lines[line - 1].decode("latin-1")) if kind == "bad" else []:
+            loose = Path(git_dir, name)
+            value = codecs.parse_ref(loose.read_bytes(), hash_size)[0] if loose.is_file() else None
+            value = value or newest_good(git_dir, name, readable, hash_size)
+            if name not in kept and value:
+                kept[name] = value
+                restored.append(name)
+            elif name not in kept:
+                lost.append(name)
+    q.move(str(path), "packed-refs has unreadable lines")
+    temp = path.with_name("packed-refs.new")
+    temp.write_bytes(codecs.render_packed_refs(kept, peeled))
+    os.replace(temp, path)
+    return restored, lost
+
+
+def write_lost_found(spark: SparkSession, path: str) -> list[str]:
+    """Writes what nothing links to under lost-found: commits by name, blobs with their content."""
+    git_dir = store.discover(path)
+    options = model.Options(lost_found=True).normal()
+    copies = store_check.best_copies(store_check.objects(spark, git_dir, options))
+    loose = store_check.check(spark, path, options).where("msg_id = 'dangling'").select(F.unhex("oid").alias("oid"))
+    out = []
+    for r in copies.join(loose, "oid", "left_semi").select("oid", "typ", "body").toLocalIterator():
+        name = bytes(r["oid"]).hex()
+        target = Path(git_dir, "lost-found", "commit" if r["typ"] == "commit" else "other", name)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(bytes(r["body"]) if r["typ"] == "blob" else (name + "\n").encode())
+        out.append(str(target))
+    return sorted(out)
+
+
+def peeled_tags(best: DataFrame, hops: int = 10) -> dict[bytes, bytes]:
+    """What every tag stands for after ten hops at most."""
+    text = F.decode("body", "ISO-8859-1")
+    tags = best.where("typ = 'tag'").select(F.col("oid").alias("name"), F.unhex(F.regexp_extract(text, "^object ([0-9a-f]+)", 1)).alias("target"))
+    return {bytes(r["name"]): bytes(r["last"]) for r in graph.chase(tags, tags.select("name"), hops).toLocalIterator()}
+
+
 def repair(spark: SparkSession, path: str, remote: str | None = None, passes: int = 50) -> Result:
     """Rebuilds what can be proven, until a pass recovers nothing; then checks the store again."""
     git_dir = store.discover(path)
@@ -205,7 +263,11 @@ def repair(spark: SparkSession, path: str, remote: str | None = None, passes: in
         if not got:
             result.unrecovered += [bytes(r["oid"]).hex() for r in rows]
             break
-    readable = {bytes(r[0]) for r in store_check.best_copies(store_check.objects(spark, git_dir, model.Options())).select("oid").toLocalIterator()}
+    best = store_check.best_copies(store_check.objects(spark, git_dir, model.Options()))
+    readable = {bytes(r[0]) for r in best.select("oid").toLocalIterator()}
+    restored, lost = repair_packed_refs(git_dir, q, readable, peeled_tags(best), n)
+    result.refs += restored
+    result.unrecovered += lost
     for name, _, sym, broken in store.refs(git_dir, n):
         if broken and sym is None:
             value = newest_good(git_dir, name, readable, n)

@@ -26,9 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, remembered for release()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder; for when its results have been stored elsewhere."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -523,6 +523,77 @@ def parse_index(data: bytes, hash_size: int = 20, salvage: bool = False) -> tupl
     return out, claimed, "bad index file checksum" if bad else None
 
 
+def index_extensions(data: bytes, hash_size: int = 20) -> dict[bytes, bytes]:
+    """The extensions of a sound index, by their four-byte names."""
+    entries, claimed, fault = parse_index(data, hash_size)
+    if fault or len(entries) != claimed:
+        return {}
+    version, at, end, out = int.from_bytes(data[4:8], "big"), 12, len(data) - hash_size, {}
+    for path, *_ in entries:
+        flags = int.from_bytes(data[at + 40 + hash_size : at + 42 + hash_size], "big")
+        fixed = 42 + hash_size + (2 if flags & 0x4000 else 0)
+        if version == 4:
+            at = data.index(b"\0", offset_varint(data, at + fixed)[1]) + 1
+        else:
+            at += (fixed + len(path) + 8) // 8 * 8
+    while at + 8 <= end:
+        size = int.from_bytes(data[at + 4 : at + 8], "big")
+        out[data[at : at + 4]] = data[at + 8 : at + 8 + size]
+        at += 8 + size
+    return out
+
+
+def parse_cache_tree(body: bytes, hash_size: int = 20) -> list[tuple[str, int, bytes | None]] | None:
+    """(path, entry count, oid) of every node, parents first; a count of -1 has no oid.  None if malformed."""
+    out: list[tuple[str, int, bytes | None]] = []
+    at = 0
+
+    def node(prefix: str) -> bool:
+        nonlocal at
+        stop = body.find(b"\0", at)
+        m = re.compile(rb"(-?\d+) (\d+)\n").match(body, stop + 1) if stop >= 0 else None
+        if not m:
+            return False
+        name, count = body[at:stop].decode("utf-8", "replace"), int(m[1])
+        path, at, oid = (f"{prefix}/{name}" if prefix else name), m.end(), None
+        if count >= 0:
+            oid, at = body[at : at + hash_size], at + hash_size
+            if len(oid) != hash_size:
+                return False
+        out.append((path, count, oid))
+        return all(node(path) for _ in range(int(m[2])))
+
+    return out if node("") else None
+
+
+def parse_resolve_undo(body: bytes, hash_size: int = 20) -> list[tuple[bytes, int, int, bytes]] | None:
+    """(path, stage, mode, oid) of every recorded stage; None if malformed."""
+    out, at = [], 0
+    while at < len(body):
+        m = re.compile(rb"([^\0]+)\0([0-7]+)\0([0-7]+)\0([0-7]+)\0").match(body, at)
+        if not m:
+            return None
+        at = m.end()
+        for stage in (1, 2, 3):
+            mode = int(m[stage + 1], 8)
+            if mode:
+                if at + hash_size > len(body):
+                    return None
+                out.append((m[1], stage, mode, body[at : at + hash_size]))
+                at += hash_size
+    return out
+
+
+def render_packed_refs(refs: dict[str, bytes], peeled: dict[bytes, bytes]) -> bytes:
+    """A packed-refs file: header, sorted entries, and what each tag peels to."""
+    lines = ["# pack-refs with: peeled fully-peeled sorted "]
+    for name, oid in sorted(refs.items()):
+        lines.append(f"{oid.hex()} {name}")
+        if oid in peeled:
+            lines.append(f"^{peeled[oid].hex()}")
+    return ("\n".join(lines) + "\n").encode()
+
+
 def encode_index(entries: list[tuple[bytes, int, bytes, int]], hash_size: int = 20) -> bytes:
     """A version 2 index of (path, mode, oid, stage), sorted, without extensions."""
     out = [struct.pack(">4sII", b"DIRC", 2, len(entries))]

@@ -74,3 +74,12 @@ def test_status_of_nothing_is_zero(spark):
     none = spark.createDataFrame([], "g long, bit int")
     assert report.status(none, F.col("bit")).first()["status"] == 0
     assert ordered.duplicates(none, ["g"]).count() == 0
+
+
+def test_released_tables_are_gone(spark, tmp_path):
+    from plumbline import shared
+
+    df = shared.written(spark.range(3), "t")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert shared.release(spark) > 0 and not os.path.exists(path) and shared.release(spark) == 0

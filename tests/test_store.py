@@ -119,3 +119,39 @@ def test_index_round_trip_and_versions(repo):
     assert codecs.parse_index(data[:30])[2]
     assert codecs.parse_index(data[:-1] + b"x")[2] == "bad index file checksum"
     assert len(codecs.parse_index(data[:-1] + b"x", salvage=True)[0]) == 2
+
+
+def test_bad_packed_refs_line_is_rewritten(spark, repo):
+    git(repo, "branch", "side")
+    git(repo, "pack-refs", "--all")
+    path = repo / ".git/packed-refs"
+    lines = path.read_text().splitlines()
+    at = next(i for i, x in enumerate(lines) if x.endswith("refs/heads/side"))
+    lines[at] = "zz" + lines[at][2:]
+    path.write_text("\n".join(lines) + "\n")
+    result = store_repair.repair(spark, str(repo))
+    assert result.ok and result.refs == ["refs/heads/side"]
+    assert git(repo, "rev-parse", "side") == git(repo, "rev-parse", "HEAD")
+    assert git(repo, "rev-parse", "v1^{}") == git(repo, "rev-parse", "HEAD")
+
+
+def test_lost_and_found_and_names(spark, repo):
+    loose = git(repo, "hash-object", "-w", "--stdin", data=b"nobody links here").decode().strip()
+    assert [Path(p).name for p in store_repair.write_lost_found(spark, str(repo))] == [loose]
+    assert (repo / ".git/lost-found/other" / loose).read_bytes() == b"nobody links here"
+    old = git(repo, "rev-parse", "HEAD~2:src/deep/c.txt").decode().strip()
+    os.remove(repo / ".git/objects" / old[:2] / old[2:])
+    found = store_check.check(spark, str(repo), store_check.model.Options(name_objects=True, reflogs=False)).where("msg_id = 'missing'").collect()
+    assert [r["text"] for r in found] == [f"missing blob {old} (HEAD~2:src/deep/c.txt)"]
+
+
+def test_cache_tree_and_resolve_undo(repo):
+    git(repo, "write-tree")
+    extra = codecs.index_extensions((repo / ".git/index").read_bytes())
+    nodes = codecs.parse_cache_tree(extra[b"TREE"])
+    want = {"": "HEAD^{tree}", "src": "HEAD:src", "src/deep": "HEAD:src/deep"}
+    assert {p: o.hex() for p, _, o in nodes} == {k: git(repo, "rev-parse", v).decode().strip() for k, v in want.items()}
+    assert codecs.parse_cache_tree(extra[b"TREE"][:-5]) is None
+    one = b"\1" * 20
+    assert codecs.parse_resolve_undo(b"p\x00100644\x000\x00120000\x00" + one * 2) == [(b"p", 1, 0o100644, one), (b"p", 3, 0o120000, one)]
+    assert codecs.parse_resolve_undo(b"p\x00100644\x000\x00120000\x00" + one) is None
