@@ -18,6 +18,7 @@ any store that Spark writes to will do.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -119,23 +120,30 @@ def records(page_id: int | None, url: str | None, payload: bytes, revisits: int
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in cuts of a few rows, so that what Python holds of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _writer(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in _pieces(batches):
         out, size = [], 0
         for page_id, url, payload, revisits in zip(*(c.to_pylist() for c in batch.columns)):
             n += 1  # record ids differ even for repeated rows; only one attempt of a task is committed
             for r in records(page_id, url, payload or b"", revisits, f"{task}/{n}", segment):
                 out.append(r)
                 size += len(r)
-            if size > 1 << 24:
+            if size > 1 << 22:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                 out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
-    """(page_id, url, html, ...) -> WARC files in path; one logical record per row.
+    """(page_id, url, html, ...) -> gzipped WARC files in path; one logical record per row.
 
     The payload is html in UTF-8, a null one is empty.  Of the records with equal payloads
     of at least `least` bytes, that with the smallest page_id is the response and the
@@ -153,7 +161,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     revisits = F.when(F.col("first") < F.col("page_id"), F.col("first"))
     ready = joined.select("page_id", "url", "payload", revisits.alias("revisits"))
     made = ready.mapInArrow(lambda b: _writer(b, segment), "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", PER_FILE).text(path)
+    text = made.select(F.col("record").cast("string").alias("value"))
+    text.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -176,6 +185,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += n + 4
 
 
+def unzipped(content: pa.BinaryScalar) -> bytes:
+    """A file's bytes, out of gzip if it is gzipped."""
+    data = content.as_buffer()
+    return gzip.decompress(data) if data.slice(0, min(2, data.size)).to_pybytes() == b"\x1f\x8b" else data.to_pybytes()
+
+
 _FIELDS = {
     "type": "warc-type",
     "record_id": "warc-record-id",
@@ -197,11 +212,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
-            for fields, block in parse(content.as_py()):
+            for fields, block in parse(unzipped(content)):
                 got = {k: fields.get(name) for k, name in _FIELDS.items()}
                 rows.append({k: int(v) if k in _LONGS and v is not None else v for k, v in got.items()} | {"block": block})
                 size += len(block)
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -226,7 +241,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
         + [("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
     )
-    for batch in batches:
+    for batch in _pieces(batches):
         rows = []
         for r in batch.to_pylist():
             digest = (r["digest"] or "").removeprefix("sha1:")
