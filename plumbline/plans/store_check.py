@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import replace
 from pathlib import Path
 
 import pyarrow as pa
@@ -361,11 +363,41 @@ def connectivity(best: DataFrame, edges: DataFrame, root_rows: DataFrame, option
     return verdict.unionByName(broken)
 
 
+def configured(git_dir: str, options: model.Options, hash_size: int = 20) -> model.Options:
+    """Options with what the store's configuration says: severities of checks, a list of objects to skip, the size of big files.
+
+    Options given win over the configuration.  An unknown check or severity, and a list that
+    cannot be read, are errors.
+    """
+    severity, skip, big = {}, set(), options.big_file
+    for _, key, value in store.config([os.path.join(git_dir, "config")]):
+        if key == "core.bigfilethreshold":
+            big = options.big_file if options.big_file != model.Options.big_file else size_in_bytes(value or "")
+        elif key == "fsck.skiplist":
+            skip |= {x.strip() for x in Path(git_dir, value or "").read_text().splitlines() if x.strip() and not x.startswith("#")}
+        elif key.startswith("fsck."):
+            severity[key.removeprefix("fsck.")] = value or ""
+    if bad := [x for x in skip if len(x) != 2 * hash_size or set(x.lower()) - set("0123456789abcdef")]:
+        raise ValueError(f"invalid object name in the skip list: {bad[0]}")
+    merged = {**severity, **options.severities}
+    model.severities(merged, options.strict)
+    return replace(options, severities=merged, skip=options.skip | {x.lower() for x in skip}, big_file=big)
+
+
+def size_in_bytes(text: str) -> int:
+    """Digits, and k, m or g for powers of 1024."""
+    m = re.fullmatch(r"([0-9]+)([kKmMgG]?)", text)
+    if not m:
+        raise ValueError(f"bad size: {text}")
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[m[2].lower()]
+
+
 def check(spark: SparkSession, path: str, options: model.Options | None = None) -> DataFrame:
     """All findings about the store at path, unordered: FINDINGS.  report.ordered() sorts them, status() folds them."""
     options = (options or model.Options()).normal()
     git_dir = store.discover(path)
     n = store.hash_size_of(git_dir)
+    options = configured(git_dir, options, n)
     copies = objects(spark, git_dir, options)
     best = written(best_copies(copies), "best")
     edges = written(links(best, n), "edges")

@@ -164,6 +164,20 @@ class Result:
         return not self.unrecovered and self.clean
 
 
+def described(plan_rows: DataFrame) -> DataFrame:
+    """A plan as lines: what is wrong with each object, and where it would come from; `would` for the totals."""
+    name = F.lower(F.hex("oid"))
+    state = F.when(F.col("corrupt"), F.lit("corrupt")).otherwise(F.lit("missing"))
+    would = F.col("source").isNotNull()
+    how = F.when(would, F.concat(F.lit("would be recovered from "), F.col("source"))).otherwise(F.lit("cannot be recovered"))
+    return plan_rows.select(name.alias("oid"), F.concat_ws(" ", state, name, how).alias("line"), would.alias("would"))
+
+
+def totals(plan_rows: DataFrame) -> DataFrame:
+    """How many objects would and would not be recovered."""
+    return plan_rows.agg(F.count_if(F.col("source").isNotNull()).alias("would"), F.count_if(F.col("source").isNull()).alias("would_not"))
+
+
 def newest_good(git_dir: str, name: str, readable: set[bytes], hash_size: int = 20) -> bytes | None:
     """The newest value in a ref's history that can be read."""
     for ref, _, _, new, _ in reversed(store.reflogs(git_dir, hash_size)):

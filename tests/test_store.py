@@ -155,3 +155,30 @@ def test_cache_tree_and_resolve_undo(repo):
     one = b"\1" * 20
     assert codecs.parse_resolve_undo(b"p\x00100644\x000\x00120000\x00" + one * 2) == [(b"p", 1, 0o100644, one), (b"p", 3, 0o120000, one)]
     assert codecs.parse_resolve_undo(b"p\x00100644\x000\x00120000\x00" + one) is None
+
+
+def test_configuration_of_the_check(repo, tmp_path_factory):
+    git(repo, "config", "fsck.hasDot", "error")
+    git(repo, "config", "core.bigFileThreshold", "2k")
+    skip = tmp_path_factory.mktemp("s") / "skip"
+    skip.write_text("# none\n" + "AB" * 20 + "\n")
+    git(repo, "config", "fsck.skipList", str(skip))
+    o = store_check.configured(str(repo / ".git"), store_check.model.Options(severities={"hasDot": "ignore"}))
+    assert (o.severities["hasDot"], o.skip, o.big_file) == ("ignore", {"ab" * 20}, 2048)
+    git(repo, "config", "fsck.noSuchCheck", "warn")
+    with pytest.raises(ValueError):
+        store_check.configured(str(repo / ".git"), store_check.model.Options())
+
+
+def test_command_line(spark, repo, capsys):
+    from plumbline.__main__ import main
+
+    assert main(["--nonsense"]) == 129
+    assert main([str(repo.parent / "nowhere")]) == 128
+    blob = git(repo, "rev-parse", "HEAD:a.txt").decode().strip()
+    os.remove(repo / ".git/objects" / blob[:2] / blob[2:])
+    assert main(["--dry-run", "--no-dangling", str(repo)]) & 2
+    assert f"missing {blob} would be recovered from {repo / 'a.txt'}" in capsys.readouterr().out
+    assert main([str(repo)]) == 0
+    assert f"recovered {blob}" in capsys.readouterr().out
+    assert main(["--list-runs", str(repo)]) == 0
