@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import content, names
 from plumbline.model import severity_table
 from plumbline.operators import graph, links, ordered, report, sets
+from plumbline.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -101,7 +102,7 @@ def _edges(t) -> DataFrame:
     for df, src, dst in pairs:
         one = df.select(_node(*src).alias("src"), _node(*dst).alias("dst"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return written(out, "edges")  # every round of a walk reads them
 
 
 def _nodes(t) -> DataFrame:
