@@ -143,16 +143,34 @@ def roots(git_dir: str, options: model.Options, hash_size: int = 20) -> list[tup
     if options.reflogs:
         for name, _, old, new, _ in store.reflogs(git_dir, hash_size):
             out += [(f"{name}@reflog", o, None) for o in (old, new) if any(o)]
-    for path, mode, oid, _, _ in store.index_entries(git_dir, hash_size)[0]:
+    out += _index_roots(git_dir, "", hash_size)
+    for name, directory in store.worktrees(git_dir):
+        at = f"worktrees/{name}/"
+        file = Path(directory, "HEAD")
+        oid, sym, _ = codecs.parse_ref(file.read_bytes(), hash_size) if file.is_file() else (None, None, True)
+        head = oid or (store.resolve_ref(git_dir, sym.decode("latin-1"), hash_size) if sym else None)
+        if head:
+            out.append((at + "HEAD", head, "commit"))
+        out += [(at + ref, o, None) for ref, o, _, _ in store.private_refs(directory, hash_size) if o is not None]
+        if options.reflogs:
+            out += [(f"{at}{ref}@reflog", o, None) for ref, _, old, new, _ in store.reflogs(directory, hash_size) for o in (old, new) if any(o)]
+        out += _index_roots(directory, at, hash_size)
+    return out
+
+
+def _index_roots(directory: str, at: str, hash_size: int) -> list[tuple[str, bytes, str | None]]:
+    """What the index of a worktree names: its entries but links to other stores, cached trees, stages once resolved."""
+    out: list[tuple[str, bytes, str | None]] = []
+    for path, mode, oid, _, _ in store.index_entries(directory, hash_size)[0]:
         if mode & 0o170000 != 0o160000:
-            out.append((":" + path.decode("utf-8", "replace"), oid, "blob"))
-    index = Path(git_dir, "index")
+            out.append((f"{at}:" + path.decode("utf-8", "replace"), oid, "blob"))
+    index = Path(directory, "index")
     extra = codecs.index_extensions(index.read_bytes(), hash_size) if index.is_file() else {}
     for path, count, oid in codecs.parse_cache_tree(extra[b"TREE"], hash_size) or [] if b"TREE" in extra else []:
         if count >= 0:
-            out.append((":" + path, oid, "tree"))
+            out.append((f"{at}:" + path, oid, "tree"))
     for path, stage, _, oid in codecs.parse_resolve_undo(extra[b"REUC"], hash_size) or [] if b"REUC" in extra else []:
-        out.append((f":{stage}:" + path.decode("utf-8", "replace"), oid, "blob"))
+        out.append((f"{at}:{stage}:" + path.decode("utf-8", "replace"), oid, "blob"))
     return out
 
 

@@ -253,6 +253,8 @@ def repair(spark: SparkSession, path: str, remote: str | None = None, passes: in
         for p in [*Path(d, "pack").glob("*.rev"), *Path(d, "pack").glob("*.bitmap"), Path(d, "pack", "multi-pack-index"), Path(d, "info", "commit-graph")]:
             if p.is_file() and not store.file_checksum(str(p), n):
                 q.move(str(p), "derived file is corrupt")
+        if store.pack_list_stale(d):
+            q.move(str(Path(d, "info", "packs")), "the list of packs is stale")
     bad_packs = sorted({os.path.splitext(p)[0] for p, _ in store.pack_faults(dirs, n)})
     for base in bad_packs:  # what can be read of a bad pack becomes loose objects first
         copies = store.packed(store.pack_index(spark, dirs, n), n).where((F.col("source") == base + ".pack") & ~F.col("failed"))

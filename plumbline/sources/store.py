@@ -285,6 +285,31 @@ def refs(git_dir: str, hash_size: int = 20) -> list[tuple[str, bytes | None, str
     return [(k, *v) for k, v in sorted(table.items())]
 
 
+def worktrees(git_dir: str) -> list[tuple[str, str]]:
+    """(name, directory) of the linked worktrees: those that say where they are."""
+    root = Path(git_dir, "worktrees")
+    return [(p.name, str(p)) for p in sorted(root.iterdir()) if (p / "gitdir").is_file()] if root.is_dir() else []
+
+
+def private_refs(worktree_dir: str, hash_size: int = 20) -> list[tuple[str, bytes | None, str | None, bool]]:
+    """Refs that each worktree has for itself."""
+    out = []
+    for part in ("bisect", "rewritten", "worktree"):
+        root = Path(worktree_dir, "refs", part)
+        for p in sorted(root.rglob("*")) if root.is_dir() else []:
+            if p.is_file() and not p.name.startswith(".") and not p.name.endswith(".lock"):
+                oid, sym, broken = codecs.parse_ref(p.read_bytes(), hash_size)
+                out.append((f"refs/{part}/{p.relative_to(root)}", oid, sym.decode("latin-1") if sym else None, broken))
+    return out
+
+
+def pack_list_stale(objects_dir: str) -> bool:
+    """Whether info/packs names a pack that is not there."""
+    p = Path(objects_dir, "info", "packs")
+    names = [x[2:] for x in p.read_text().splitlines() if x.startswith("P ")] if p.is_file() else []
+    return any(not Path(objects_dir, "pack", n).is_file() for n in names)
+
+
 def resolve_ref(git_dir: str, name: str, hash_size: int = 20, hops: int = 6) -> bytes | None:
     """What a ref stands for after six symbolic hops at most; None if nothing."""
     table = {n: (o, s) for n, o, s, _ in refs(git_dir, hash_size)}

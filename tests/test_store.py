@@ -182,3 +182,23 @@ def test_command_line(spark, repo, capsys):
     assert main([str(repo)]) == 0
     assert f"recovered {blob}" in capsys.readouterr().out
     assert main(["--list-runs", str(repo)]) == 0
+
+
+def test_linked_worktrees_have_roots_of_their_own(spark, repo, tmp_path_factory):
+    other = tmp_path_factory.mktemp("wt") / "w"
+    git(repo, "worktree", "add", "-q", "--detach", str(other))
+    (other / "only.txt").write_text("staged in the worktree alone")
+    git(other, "add", "only.txt")
+    blob = git(other, "rev-parse", ":only.txt").decode().strip()
+    found = {(r["msg_id"], r["oid"]) for r in store_check.check(spark, str(repo)).collect()}
+    assert not {m for m, _ in found}
+    os.remove(repo / ".git/objects" / blob[:2] / blob[2:])
+    found = {(r["msg_id"], r["oid"]) for r in store_check.check(spark, str(repo)).collect()}
+    assert ("missing", blob) in found and ("invalidPointer", "worktrees/w/:only.txt") in found
+
+
+def test_stale_pack_list(repo):
+    objects = str(repo / ".git/objects")
+    assert not store.pack_list_stale(objects)
+    (repo / ".git/objects/info/packs").write_text("P pack-1.pack\n\n")
+    assert store.pack_list_stale(objects)
