@@ -34,6 +34,7 @@ BYTES = 8
 BITS = 3
 MATCHES = BYTES - BITS
 SEED = 42
+WIDTH = 3
 
 
 def _covering() -> list[tuple[int, ...]]:
@@ -52,27 +53,45 @@ def _covering() -> list[tuple[int, ...]]:
 TERMS = _covering()
 
 
-def fingerprint(words: list[bytes]) -> int:
-    """The fingerprint of one document's (lower-cased) words."""
-    if not words:
-        return 0
-    text = b" ".join(words)
+LONG = 1 << 20
+_RUN = 1 << 15
+
+
+def _ones(words: list[bytes], width: int) -> tuple[np.ndarray, int]:
+    """How many of the words' shingles have each bit set, and how many shingles there are."""
+    text = memoryview(b" ".join(words))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    width = min(3, len(words))
+    starts = (ends - lengths)[: len(words) - width + 1].tolist()
     h = xxhash.xxh64_intdigest
-    view = memoryview(text)
-    hashes = np.array(
-        [h(view[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())],
-        dtype=np.uint64,
-    )
+    hashes = np.array([h(text[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
         counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = counts * 2 > len(hashes)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return counts, len(hashes)
+
+
+def _print(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
+def fingerprint(words: list[bytes]) -> int:
+    """The fingerprint of one document's (lower-cased) words."""
+    return _print(*_ones(words, min(WIDTH, len(words)))) if words else 0
+
+
+def long_fingerprint(part: ts.Slice, run: int = _RUN) -> int:
+    """The same for a slice that is one long document, a run of words at a time."""
+    starts, ends, _ = part.words()
+    if len(starts) <= run:
+        return fingerprint([part.buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())])
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for k in range(0, len(starts) - WIDTH + 1, run):
+        some = slice(k, k + run + WIDTH - 1)
+        more, m = _ones([part.buf[a:b].tobytes() for a, b in zip(starts[some].tolist(), ends[some].tolist())], WIDTH)
+        counts, n = counts + more, n + m
+    return _print(counts, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +99,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = batch.column(1)
         out = np.zeros(batch.num_rows, dtype=np.uint64)
         for part in ts.slices(texts, lower=True):
+            if part.n_docs == 1 and len(part.buf) > LONG:
+                out[part.first] = long_fingerprint(part)
+                continue
             data = part.buf.tobytes()
             offs = part.offs.tolist()
             for k in range(part.n_docs):

@@ -2,11 +2,13 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import components, simhash
+from plumbline.llm import textscan as ts
 
 SCHEMA = "doc_id long, text string, fp string, u long"
 
@@ -115,3 +117,10 @@ def test_chain_of_links(spark):
     edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).union(spark.createDataFrame([(1000, 1001), (5, 5), (None, 3)], "u long, v long"))
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9, 10, 11, 12, 13, 40])
+def test_long_documents_are_taken_in_runs(n):
+    text = " \n".join(f"W{i * i}" for i in range(n))
+    part = next(ts.slices(pa.array([text or " "]), lower=True))
+    assert simhash.long_fingerprint(part, run=5) == brute_print(text)
