@@ -213,11 +213,12 @@ _ASCII_LETTER = np.zeros(256, dtype=np.int64)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = 1
 
 
-def _predict(batches: Iterator[pa.RecordBatch], net: Network, carried: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], net: Network, carried: list[str], text: int, at: list[int]) -> Iterator[pa.RecordBatch]:
+    """text: the column of the text; at: those of what is carried."""
     labeller = Labeller(net)
     for batch in batches:
         names, scores = [], []
-        for part in ts.slices(batch.column(0), lower=True):
+        for part in ts.slices(batch.column(text), lower=True):
             pooled, length = labeller.documents(part)
             letters = ts.per_doc(_ASCII_LETTER[part.buf], part.offs) if len(part.buf) else np.zeros(part.n_docs)
             best = pooled.argmax(axis=1)
@@ -229,7 +230,7 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network, carried: list[str]
                     names.append(UNKNOWN)
                     scores.append(0.0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(i + 1) for i in range(len(carried))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+            [batch.column(i) for i in at] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
             names=carried + ["lang_pred", "score"],
         )
 
@@ -298,9 +299,11 @@ def identify(docs: DataFrame, net: Network | None, carried: list[str]) -> DataFr
     if net is None:
         return docs.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*carried).dtypes)
-    return docs.select(F.col("text").cast("string").alias("_text"), *carried).mapInArrow(
-        lambda b: _predict(b, net, carried), f"{kinds}, lang_pred string, score double"
-    )
+    if dict(docs.dtypes)["text"] == "string" and "text" in carried:  # a carried text is sent once
+        rows, text, at = docs.select(*carried), carried.index("text"), list(range(len(carried)))
+    else:
+        rows, text, at = docs.select(F.col("text").cast("string").alias("_text"), *carried), 0, list(range(1, len(carried) + 1))
+    return rows.mapInArrow(lambda b: _predict(b, net, carried, text, at), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
