@@ -57,8 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, unless the session sets its own: what a Python worker and the JVM hold of one at a time.
+ARROW_BYTES = 8 << 20
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Make the session ready for Python on its executors: small Arrow batches, and, once a context, this package."""
+    if spark.conf.get(_BATCH).rstrip("b") == _SPARKS_OWN:
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc in _shipped:
         return
