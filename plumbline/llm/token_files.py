@@ -71,8 +71,12 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.used = 0
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a few at a time, as the tokenizer's own results are large."""
+        out = []
+        for k in range(0, len(texts), 2048):
+            out += [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
+        return out
 
     def _keep(self, ids: np.ndarray) -> int:
         if self.used + len(ids) > len(self.ids):
@@ -106,7 +110,7 @@ class Encoder:
             a, b = starts[which[new]].tolist(), ends[which[new]].tolist()
             got = self._ids([data[x:y].decode("utf-8", "replace") for x, y in zip(a, b)])
             size[new] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            first = self._keep(np.concatenate([np.asarray(g, dtype=self.kind) for g in got]))
+            first = self._keep(np.concatenate(got))
             at[new] = first + np.cumsum(size[new]) - size[new]
             short = new[(ends - starts)[which[new]] <= self.LONGEST]
             where = np.searchsorted(self.keys, distinct[short])
