@@ -1,19 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root is the smoothed unigram distribution of all training words.  Below it are
-contexts of one to `depth` preceding words.  A context is a candidate if it makes up at
-least p_min of the training words; it is retained if the counts after it diverge from
-what its longest retained suffix predicts (a likelihood-ratio test).  After a retained
-context s, each stored word w has probability
+contexts of one to `depth` preceding words.  A context is a candidate if it occurs often
+enough; it is retained if the counts after it diverge from what its longest retained
+suffix predicts (a likelihood-ratio test).  After a retained context s, each stored word
+w has probability
 
     c(s, w) / (c(s) + kappa)  +  (1 - stored mass of s) * P(w | suffix of s)
 
 so the distributions sum to one and give no word zero.  A text is scored with the
 longest retained suffix at every word.
 
-Size: at most 1 / p_min contexts a depth and 1 / gamma_min words after each are stored,
-all of them among the TOP most frequent words.  That bounds what is sent to the
-executors.  All other words' counts, however many, stay in a table and are joined.
+grow() makes the tree that grows with the corpus: candidates by an absolute number of
+occurrences, all of them in tables.  As every suffix of a stored pair is stored, the log
+probability of a text is its unigram one and a weight for each run of words in it:
+
+    log rest(s) for each retained context, log(1 + mass / (rest(s) * P(w | suffix of s)))
+    for each stored pair (s, w)
+
+so the most frequent runs are looked up in the executors, and all others are joined.
+What is sent is bounded (TOP words, HOT runs, 2^26 bits that tell runs without a weight);
+the bits only save rows, and no result depends on them.
+
+train() makes a tree in memory, of contexts that make up p_min of the training words.
 Words are known by 64-bit hashes.
 """
 
@@ -32,8 +41,11 @@ from plumbline.llm import textscan as ts
 from plumbline.llm.session import ship, written
 
 TOP = 1 << 16
+HOT = 1 << 19
 END = np.uint64(0x454E44)
 _FLUSH = 1 << 21
+_SLOTS = 20  # log2 of the 64-bit slots of a filter
+_GRID = float(1 << 30)  # weights are whole multiples of its inverse, so sums do not depend on the order
 
 
 @dataclass
@@ -114,21 +126,28 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [np.asarray(c.combine_chunks()) if c.num_chunks else np.zeros(0, dtype=np.int64) for c in got.columns]
 
 
+def _root(texts: DataFrame) -> tuple[Tree, DataFrame]:
+    """The root of the tree, and the table of all training words."""
+    ship(texts.sparkSession)
+    vocabulary = written(_counts(texts, lambda part: _tokens(part)[0]), "vocabulary")
+    total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
+    top, counts = _arrays(vocabulary.orderBy(F.desc("n"), "thing").limit(TOP))
+    hashes = top.view(np.uint64)
+    order = np.argsort(hashes)
+    return Tree(total or 0, distinct or 0, hashes[order], counts[order].astype(np.int64), []), vocabulary
+
+
 def train(
     texts: DataFrame, depth: int = 2, p_min: float = 2e-4, gamma_min: float = 2e-3, least_pair: int = 5, kappa: float = 5.0
 ) -> tuple[Tree, DataFrame]:
     """(text) -> the tree, and the table of all training words: (thing: hash as long, n).
 
-    Every text counts whole.  Null and empty texts count as one END.
+    Every text counts whole.  Null and empty texts count as one END.  At most 1 / p_min
+    contexts a depth, all of top words, are stored: a tree in memory.
     """
-    ship(texts.sparkSession)
     texts = texts.select(F.col("text").cast("string").alias("text"))
-    vocabulary = written(_counts(texts, lambda part: _tokens(part)[0]), "vocabulary")
-    total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    top, counts = _arrays(vocabulary.orderBy(F.desc("n"), "thing").limit(TOP))
-    hashes = top.view(np.uint64)
-    order = np.argsort(hashes)
-    tree = Tree(total or 0, distinct or 0, hashes[order], counts[order].astype(np.int64), [])
+    tree, vocabulary = _root(texts)
+    total = tree.total
     if not total:
         return tree, vocabulary
     end = int(_find(tree.hashes, np.array([END]))[0])
@@ -189,6 +208,173 @@ def _retain(tree: Tree, d: int, codes: np.ndarray, n: np.ndarray, gamma_min: flo
     level.codes, level.mass = codes[stored], mass[stored]
 
 
+@dataclass
+class Runs:
+    """The weights of runs of up to `longest` words: a table (thing, n, weight) of all, and what is sent of it."""
+
+    table: DataFrame | None
+    longest: int
+    hashes: np.ndarray  # of the most frequent, sorted
+    weights: np.ndarray
+    filter: np.ndarray
+
+    def sent(self) -> Runs:
+        return Runs(None, self.longest, self.hashes, self.weights, self.filter)
+
+    def weigh(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each document's weight of frequent runs, the other runs that may have one, and how many those are."""
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        sums, things, docs = np.zeros(len(first) - 1), [], []
+        for gram, whole in _grams(h, first, self.longest):
+            some = np.flatnonzero(whole & _passes(self.filter, gram))
+            at = _find(self.hashes, gram[some])
+            hot = at >= 0
+            if hot.any():
+                sums += np.bincount(doc[some[hot]], weights=self.weights[at[hot]], minlength=len(sums))
+            things.append(gram[some[~hot]])
+            docs.append(doc[some[~hot]])
+        thing, of = np.concatenate(things), np.concatenate(docs)
+        return sums, thing[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(sums))
+
+
+def _join_runs(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a run of words from those of the run without its last and without its first word."""
+    return ts.mix(ts.mix(prefix * np.uint64(0xD1342543DE82EF95) + np.uint64(1)) + suffix)
+
+
+def _grams(h: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 the hash of the run that starts at every token, and whether it lies in one document."""
+    inner = np.ones(len(h), dtype=bool)
+    inner[first[1:] - 1] = False
+    gram, whole = h, np.ones(len(h), dtype=bool)
+    yield gram, whole
+    for _ in range(1, longest):
+        gram, whole = _join_runs(gram[:-1], gram[1:]), inner[: len(gram) - 1] & whole[1:]
+        yield gram, whole
+
+
+def _filter(things: DataFrame) -> np.ndarray:
+    """A bit set for each thing; of fixed size, so others may share one."""
+    slots = things.groupBy(F.expr(f"shiftrightunsigned(thing, {64 - _SLOTS})").alias("slot"))
+    slot, bits = _arrays(slots.agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(thing, {58 - _SLOTS}) & 63 as int)))").alias("bits")))
+    out = np.zeros(1 << _SLOTS, dtype=np.uint64)
+    out[slot] = bits.view(np.uint64)
+    return out
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)] >> ((h >> np.uint64(58 - _SLOTS)) & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _runs(part: ts.Slice, length: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `length` words whose two shorter runs pass the filter, as those two."""
+    h, first = _tokens(part)
+    for gram, whole in _grams(h, first, length - 1):
+        pass
+    inner = np.ones(len(h), dtype=bool)
+    inner[first[1:] - 1] = False
+    good = whole & _passes(bits, gram)
+    at = np.flatnonzero(good[:-1] & good[1:] & inner[: max(len(gram) - 1, 0)])
+    return gram[at], gram[at + 1]
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of `length` words that pass the filter `often`, and their two shorter runs `bits`."""
+    held, n = [], 0
+
+    def flush() -> pa.RecordBatch:
+        prefix, suffix = (np.concatenate(x) for x in zip(*held))
+        _, at, counts = np.unique(_join_runs(prefix, suffix), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(prefix[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(counts)], names=["prefix", "suffix", "n"]
+        )
+
+    for batch in batches:
+        for part in ts.slices(batch.column(0), lower=True):
+            prefix, suffix = _runs(part, length, bits)
+            some = _passes(often, _join_runs(prefix, suffix))
+            held.append((prefix[some], suffix[some]))
+            n += len(held[-1][0])
+            if n >= _FLUSH // 4:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prefix, suffix = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_join_runs(prefix, suffix).view(np.int64))], names=[*b.schema.names, "thing"])
+
+
+def grow(
+    texts: DataFrame, depth: int = 3, support: int = 8, least_pair: int = 5, kappa: float = 5.0
+) -> tuple[Tree, DataFrame, Runs]:
+    """(text) -> the root, the table of all training words, and the weights of the contexts below the root.
+
+    A context is a candidate if it occurs `support` times, a word after it is stored if the
+    two occur `least_pair` times together, whatever the size of the corpus.
+    """
+    if support < least_pair:
+        raise ValueError("support must be least_pair or more")
+    texts = texts.select(F.col("text").cast("string").alias("text"))
+    tree, vocabulary = _root(texts)
+    root = (F.col("n") + F.lit(0.5)) / F.lit(tree.total + 0.5 * (tree.distinct + 1))
+    end = F.lit(int(END))
+    now = vocabulary.where(F.col("n") >= least_pair).select("thing", "n", root.alias("p"), (F.col("thing") == end).alias("ends"))
+    weights = None
+    for length in range(2, depth + 2):
+        bits = _filter(now)
+        # the 40 bits of a hash count at least as often as each run that has them: few runs are left to be counted in full
+        rough = _counts(texts, lambda part, length=length, bits=bits: _join_runs(*_runs(part, length, bits)) >> np.uint64(24))
+        often = _filter(rough.where(F.col("n") >= least_pair).select(F.shiftleft("thing", 24).alias("thing")))
+        found = texts.mapInArrow(lambda b, length=length, bits=bits, often=often: _count_runs(b, length, bits, often), "prefix long, suffix long, n long")
+        found = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pair)
+        contexts = now.where((F.col("n") >= support) & ~F.col("ends")).select(F.col("thing").alias("prefix"), F.col("n").alias("c"))
+        before = now.select(F.col("thing").alias("suffix"), F.col("p").alias("before"), "ends")
+        pairs = written(found.join(contexts, "prefix").join(before, "suffix").select("prefix", "suffix", "n", "c", "before", "ends"), "pairs")
+        kept = written(_retained(pairs, kappa), "retained")
+        mass, rest = F.col("n") / (F.col("c") + F.lit(kappa)), F.col("rest")
+        now = pairs.join(kept.select("prefix", "rest"), "prefix", "left").select(
+            "prefix",
+            "suffix",
+            "n",
+            F.when(rest.isNull(), F.col("before")).otherwise(rest * F.col("before") + mass).alias("p"),
+            F.when(rest.isNotNull(), F.log10(1 + mass / (rest * F.col("before")))).alias("weight"),
+            "ends",
+        )
+        now = written(now.mapInArrow(_name_runs, "prefix long, suffix long, n long, p double, weight double, ends boolean, thing long"), "runs")
+        for more in (
+            kept.select(F.col("prefix").alias("thing"), F.col("c").alias("n"), F.log10("rest").alias("weight")),
+            now.where("weight is not null").select("thing", "n", "weight"),
+        ):
+            weights = more if weights is None else weights.unionByName(more)
+    weights = weights.groupBy("thing").agg(F.max("n").alias("n"), (F.sum(F.round(F.col("weight") * _GRID)) / F.lit(_GRID)).alias("weight"))
+    weights = written(weights, "weights")
+    hot, _, weight = _arrays(weights.orderBy(F.desc("n"), "thing").limit(HOT))
+    hashes = hot.view(np.uint64)
+    order = np.argsort(hashes)
+    return tree, vocabulary, Runs(weights, depth + 1, hashes[order], weight[order].astype(np.float64), _filter(weights))
+
+
+def _retained(pairs: DataFrame, kappa: float) -> DataFrame:
+    """(prefix, c, rest) of the contexts that pass the divergence test of _retain()."""
+    p = F.col("n") / F.col("c")
+    each = pairs.groupBy("prefix").agg(
+        F.max("c").alias("c"),
+        F.least(F.sum(p), F.lit(1.0)).alias("inside"),
+        F.least(F.sum("before"), F.lit(1.0)).alias("expected"),
+        F.sum(p * F.log(p / F.col("before"))).alias("told"),
+        F.count("*").alias("entries"),
+        F.sum("n").alias("stored"),
+    )
+    out, out_expected = (F.greatest(1 - F.col(x), F.lit(1e-12)) for x in ("inside", "expected"))
+    g = 2 * F.col("c") * (F.col("told") + out * F.log(out / out_expected))
+    passed = each.where(g > F.col("entries") + 4 * F.sqrt(2 * F.col("entries")) + 10)
+    return passed.select("prefix", "c", (1 - F.col("stored") / (F.col("c") + F.lit(kappa))).alias("rest"))
+
+
 def _step(level: Level, context: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
     """P(word | context) from P(word | its suffix); context -1, or one not retained: the same."""
     here = np.flatnonzero((context >= 0) & level.kept[context])
@@ -201,10 +387,10 @@ def _step(level: Level, context: np.ndarray, word: np.ndarray, p: np.ndarray) ->
     return p
 
 
-def _score(batches: Iterator[pa.RecordBatch], tree: Tree, carried: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], tree: Tree, runs: Runs | None, carried: list[str]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(9)]
         for part in ts.slices(batch.column(0), lower=True):
             h, first = _tokens(part)
             word = _find(tree.hashes, h)
@@ -215,6 +401,10 @@ def _score(batches: Iterator[pa.RecordBatch], tree: Tree, carried: list[str]) ->
             for level, context in zip(tree.levels, _contexts(word, first, tree.levels)):
                 p = _step(level, context, word, p)
             away = np.flatnonzero(~known)
+            if runs is None:
+                sums, deep, n_deep = np.zeros(part.n_docs), h[:0], np.zeros(part.n_docs, dtype=np.int64)
+            else:
+                sums, deep, n_deep = runs.weigh(h, first)
             for column, value in zip(
                 out,
                 (
@@ -222,9 +412,11 @@ def _score(batches: Iterator[pa.RecordBatch], tree: Tree, carried: list[str]) ->
                     np.diff(first),
                     ts.per_doc(known.astype(np.int64), first),
                     ts.per_doc(np.log10(base), first),
-                    ts.per_doc(np.log10(p), first),
+                    ts.per_doc(np.log10(p), first) + sums,
                     h[away].view(np.int64),
                     np.diff(np.searchsorted(away, first)),
+                    deep.view(np.int64),
+                    n_deep,
                 ),
             ):
                 column.append(value)
@@ -232,16 +424,16 @@ def _score(batches: Iterator[pa.RecordBatch], tree: Tree, carried: list[str]) ->
         if not batch.num_rows:
             continue
         whole = [np.concatenate(c) for c in out]
-        offsets = np.concatenate([[0], np.cumsum(whole[6])]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole[k + 1])]).astype(np.int32)), pa.array(whole[k])) for k in (5, 7)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(i + 1) for i in range(len(carried))]
             + [pa.array(c) for c in whole[:5]]
-            + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole[5]))],
-            names=carried + ["_row", "n_tokens", "_known", "_base", "_score", "_away"],
+            + lists,
+            names=carried + ["_row", "n_tokens", "_known", "_base", "_score", "_away", "_deep"],
         )
 
 
-def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str]) -> DataFrame:
+def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str], runs: Runs | None = None) -> DataFrame:
     """(text, carried columns) -> carried, n_tokens, n_known, train_tokens, base_score, score; one row per row.
 
     Scores are log10 probabilities of the whole text and its END.  A null text scores as an
@@ -250,9 +442,10 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str]
     ship(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string").alias("_text"), *carried)
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*carried).dtypes)
+    sent = None if runs is None else runs.sent()
     first = docs.mapInArrow(
-        lambda b: _score(b, tree, carried),
-        f"{kinds}, _row long, n_tokens long, _known long, _base double, _score double, _away array<long>",
+        lambda b: _score(b, tree, sent, carried),
+        f"{kinds}, _row long, n_tokens long, _known long, _base double, _score double, _away array<long>, _deep array<long>",
     )
     first = written(first, "scores")
     n, v = tree.total, tree.distinct
@@ -261,13 +454,18 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str]
     each = F.log10((F.coalesce("_n", F.lit(0)) + F.lit(0.5)) / F.lit(n + 0.5 * (v + 1)))
     sums = joined.groupBy("_row").agg(F.sum(each).alias("_more"), F.count("_n").alias("_found"))
     more = F.coalesce("_more", F.lit(0.0))
-    return first.join(sums, "_row", "left").select(
+    joined, below = first.join(sums, "_row", "left"), F.lit(0.0)
+    if runs is not None:
+        deep = first.select("_row", F.explode("_deep").alias("thing")).join(runs.table.select("thing", "weight"), "thing")
+        joined = joined.join(deep.groupBy("_row").agg(F.sum("weight").alias("_below")), "_row", "left")
+        below = F.coalesce("_below", F.lit(0.0))
+    return joined.select(
         *carried,
         "n_tokens",
         (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
+        (F.col("_score") + below + more).alias("score"),
     )
 
 
@@ -277,7 +475,10 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def score_corpus(docs: DataFrame, held_out: Column, **training) -> DataFrame:
-    """Train on the rows not held out, score all: doc_id, held_out and the columns of score()."""
+    """Train on the rows not held out, score all: doc_id, held_out and the columns of score().
+
+    With p_min the tree is that of train(), otherwise that of grow().
+    """
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    tree, vocabulary = train(docs.where("not held_out"), **training)
-    return score(docs, tree, vocabulary, ["doc_id", "held_out"])
+    made = (train if "p_min" in training else grow)(docs.where("not held_out"), **training)
+    return score(docs, *made[:2], ["doc_id", "held_out"], *made[2:])

@@ -128,3 +128,31 @@ def test_empty(spark):
     assert pst.score_corpus(df, F.lit(False)).count() == 0
     only = pst.score_corpus(spark.createDataFrame([(1, "a", "", 0)], SCHEMA), F.lit(True)).first()
     assert (only["n_tokens"], only["n_known"], only["train_tokens"], only["base_score"]) == (2, 0, 0, 0.0)
+
+
+def test_rare_contexts_count_and_tables_match_the_tree_in_memory(spark, monkeypatch):
+    """Contexts of 20 occurrences in 60,000 words are retained; most runs are joined, and every score is that of the tree."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(300))) for i in range(200)]
+    rows += [(200 + i, " ".join([rng.choice(common), "deep", f"k{i % 4}", "v", "w", f"z{i % 4}", f"p{i % 2}", "q", f"r{i % 2}"])) for i in range(80)]
+    rows += [(300, None), (301, ""), (302, "z1 deep k1 v w z1 unseen p0 q r0 deep k2"), (303, "deep")]
+    monkeypatch.setattr(pst, "HOT", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree, vocabulary, runs = pst.grow(df)
+    assert runs.table.count() > 20 == 2 * len(runs.hashes)
+    exact, _ = pst.train(df, depth=3, p_min=8 / tree.total, gamma_min=0)
+    assert all(level.kept.any() for level in exact.levels) and len(exact.levels) == 3
+    texts = dict(rows)
+    got = pst.score_corpus(df, F.lit(False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] >= 190:
+            assert r["score"] == pytest.approx(reference(exact, texts[r["doc_id"]]), rel=1e-8), r
+    by = {r["doc_id"]: r for r in got}
+    assert by[203]["score"] > by[203]["base_score"] + 5
+
+
+def test_grown_tree_of_nothing(spark):
+    _, _, runs = pst.grow(spark.createDataFrame([], "text string"))
+    assert runs.table.count() == 0 and not len(runs.hashes)
