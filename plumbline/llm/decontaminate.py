@@ -88,8 +88,11 @@ def index(items: list[tuple[int, str | None]], share: float) -> Block:
 
 
 def _pairs(texts: pa.Array, block: Block, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, item ids and containments of all pairs that hold in one batch."""
-    distinct, begin, count = np.unique(block.shingle, return_index=True, return_counts=True)
+    """Rows, item ids and containments of all pairs that hold in one batch: found by sketches, then counted in full."""
+    sketch, sketch_owner = block.shingle[block.sketched], block.owner[block.sketched]
+    distinct, begin, count = np.unique(sketch, return_index=True, return_counts=True)
+    by_item = np.argsort(block.owner, kind="stable")
+    item_begin = np.cumsum(block.size) - block.size
     rows, items, held = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for part in ts.slices(texts, lower=True) if len(distinct) else ():
         h, first = shingles(part)
@@ -98,16 +101,18 @@ def _pairs(texts: pa.Array, block: Block, share: float) -> tuple[np.ndarray, np.
         if not len(hit):
             continue
         doc = np.searchsorted(first, hit, "right") - 1
-        # each distinct shingle of a document once
-        key = np.unique(np.stack([doc, at[hit]], axis=1), axis=0)
-        n = count[key[:, 1]]
-        entry = ts.ragged(begin[key[:, 1]], n)
-        pair = np.stack([np.repeat(key[:, 0], n), block.owner[entry]], axis=1)
-        pair, back = np.unique(pair, axis=0, return_inverse=True)
-        back = back.ravel()
-        candidate = np.bincount(back, weights=block.sketched[entry], minlength=len(pair)) > 0
-        shared = np.bincount(back, minlength=len(pair))
-        good = candidate & (shared >= share * block.size[pair[:, 1]] - 1e-9)
+        n = count[at[hit]]
+        entry = ts.ragged(begin[at[hit]], n)
+        pair = np.unique(np.stack([np.repeat(doc, n), sketch_owner[entry]], axis=1), axis=0)
+        shared = np.zeros(len(pair), dtype=np.int64)
+        docs, start = np.unique(pair[:, 0], return_index=True)
+        for d, lo, hi in zip(docs.tolist(), start.tolist(), [*start[1:].tolist(), len(pair)]):
+            own = np.unique(h[first[d] : first[d + 1]])
+            sizes = block.size[pair[lo:hi, 1]]
+            wanted = block.shingle[by_item[ts.ragged(item_begin[pair[lo:hi, 1]], sizes)]]
+            there = own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted
+            shared[lo:hi] = ts.per_doc(there.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+        good = shared >= share * block.size[pair[:, 1]] - 1e-9
         rows.append(pair[good, 0] + part.first)
         items.append(block.item[pair[good, 1]])
         held.append(shared[good] / block.size[pair[good, 1]])

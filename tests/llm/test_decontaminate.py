@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from plumbline.llm import decontaminate as dc
+from plumbline.llm import textscan as ts
 
 SCHEMA = "doc_id long, text string, item_id string, containment int"
 
@@ -87,3 +88,20 @@ def test_empty_tables(spark):
     assert dc.leaks(docs, none).count() == 0
     assert dc.clean(docs, none).count() == 1
     assert dc.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
+
+
+def test_only_sketches_make_candidates():
+    """Without its sketch an item is not searched for, and an item of any size is counted in full."""
+    item = " ".join(f"t{i}" for i in range(30))
+    block = dc.index([(1, item)], 0.8)
+    rows, items, held = dc._pairs(pa.array(["x y " + item + " z", None]), block, 0.8)
+    assert (rows.tolist(), items.tolist(), held.tolist()) == ([0], [1], [1.0])
+    part = next(ts.slices(pa.array([item])))
+    looked = []
+    plain = np.searchsorted
+    try:
+        dc.np.searchsorted = lambda a, v, *more: looked.append(len(a)) or plain(a, v, *more)
+        dc._pairs(pa.array([item]), block, 0.8)
+    finally:
+        dc.np.searchsorted = plain
+    assert block.sketched.sum() in looked and block.sketched.sum() < len(dc.shingles(part)[0])
