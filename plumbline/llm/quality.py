@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textscan as ts
-from plumbline.llm.session import ship
+from plumbline.llm.session import ship, written
 
 BUCKETS = 1 << 16
 SIZES = (2, 4)  # bytes of the n-grams
 WINDOW = 5
+SMALL = 1_000_000  # trusted ids that are broadcast; more are joined by a shuffle
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
@@ -41,11 +42,10 @@ def _grams(part: ts.Slice, run: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.
             yield (code >> np.uint32(16))[whole], doc[: len(code)][whole]
 
 
-def _tally(batches: Iterator[pa.RecordBatch], trusted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        ids = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        good = np.isin(ids, trusted)
+        good = batch.column(1).to_numpy(zero_copy_only=False)
         for part in ts.slices(batch.column(0)):
             mine = good[part.first : part.first + part.n_docs]
             for bucket, doc in _grams(part):
@@ -127,13 +127,31 @@ def _measure(batches: Iterator[pa.RecordBatch], ratio: Ratio, carried: list[str]
             )
 
 
-def fit(docs: DataFrame, trusted: DataFrame, sample: int = 20_000, loss: float = 0.002, prior: float = 10.0, margin: float = 0.02) -> Ratio:
+def _aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids, and whether they set the threshold (a fifth of them) rather than make the target."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ts.mix(ids) % np.uint64(5) == 0)], names=["doc_id", "aside"])
+
+
+def _quantile(scores: DataFrame, share: float) -> float | None:
+    """The interpolated quantile of (score), from its lowest share alone; None of no rows."""
+    n = scores.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low = scores.orderBy("score").limit(int(at) + 2)
+    got = np.sort(np.asarray(low.toArrow().column(0), dtype=np.float64))
+    return float(np.interp(at, np.arange(len(got)), got))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, loss: float = 0.002, prior: float = 10.0, margin: float = 0.02) -> Ratio:
     """The ratio of a trusted target to the raw corpus.
 
-    docs (doc_id, text): all rows count for the raw multinomial.  trusted (doc_id): of it
-    the `sample` ids that hash lowest are taken, a bound on what is sent to the executors;
-    four fifths of them make the target, and the rest set the threshold: the score that all
-    but a share `loss` of them reach, less `margin`, and 0 at most.
+    docs (doc_id, text): all rows count for the raw multinomial.  trusted (doc_id): all ids
+    count, joined as a table; four fifths of them make the target, and the rest set the
+    threshold: the score that all but a share `loss` of them reach, less `margin`, and 0 at
+    most.
 
     Raw counts are scaled to the target's total and both get `prior` more in every bucket,
     so a bucket with little evidence says little.  With no trusted row every document
@@ -141,12 +159,12 @@ def fit(docs: DataFrame, trusted: DataFrame, sample: int = 20_000, loss: float =
     """
     ship(docs.sparkSession)
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().column(0)
-    ids = np.sort(ids.combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)) if len(ids) else np.zeros(0, dtype=np.int64)
-    aside = ts.mix(ids.astype(np.uint64)) % np.uint64(5) == 0
-    used, calibrating = ids[~aside], ids[aside]
+    ids = written(ids.mapInArrow(_aside, "doc_id long, aside boolean"), "trusted")
+    if ids.count() <= SMALL:  # then no text is moved
+        ids = F.broadcast(ids)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = docs.mapInArrow(lambda b: _tally(b, used), "bucket long, raw long, target long")
+    marked = docs.join(ids, "doc_id", "left").select("text", F.coalesce(~F.col("aside"), F.lit(False)).alias("used"))
+    found = marked.mapInArrow(_tally, "bucket long, raw long, target long")
     found = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bucket = np.asarray(found.column("bucket"), dtype=np.int64)
@@ -154,7 +172,8 @@ def fit(docs: DataFrame, trusted: DataFrame, sample: int = 20_000, loss: float =
     if not target.sum():
         return Ratio(np.zeros(BUCKETS), 0.0)
     ratio = Ratio(log_ratio(raw, target, prior), 0.0)
-    low = measure(_among(docs, calibrating), ratio, ["doc_id"]).agg(F.percentile("score", loss)).first()[0]
+    among = docs.join(ids, "doc_id").where("aside").select("text")
+    low = _quantile(written(measure(among, ratio, []).select("score"), "calibration"), loss)
     ratio.threshold = min(0.0, float(low) - margin) if low is not None else -margin
     return ratio
 
@@ -164,12 +183,6 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, prior: float) -> np.ndarray:
     return np.log(target + prior) - np.log(raw * (target.sum() / raw.sum()) + prior)
 
 
-def _among(docs: DataFrame, ids: np.ndarray) -> DataFrame:
-    """Rows of docs whose doc_id is among a bounded list (at most `sample` of fit)."""
-    few = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids)}))
-    return docs.join(F.broadcast(few), "doc_id", "left_semi").select("text", "doc_id")
-
-
 def measure(docs: DataFrame, ratio: Ratio, carried: list[str]) -> DataFrame:
     """(text, carried) -> carried, the counts, score, base_failed, kept; one row per row.
 

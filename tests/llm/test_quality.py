@@ -103,3 +103,26 @@ def test_grams_do_not_depend_on_the_run(run):
         one = next(ts.slices(pa.array([v], pa.string())))
         alone += [(i, b) for bucket, _ in ql._grams(one) for b in bucket.tolist()]
     assert got == sorted(alone) and len(got) == sum(max(0, len((v or "").encode()) - n + 1) for v in values for n in ql.SIZES)
+
+
+@pytest.mark.parametrize("small", [1_000_000, 100])
+def test_every_trusted_row_counts(spark, monkeypatch, small):
+    """More than 20,000 trusted rows: the target counts all four fifths, the quantile all the rest."""
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "'ab' as text")
+    monkeypatch.setattr(ql, "SMALL", small)
+    seen = []
+    plain = ql.log_ratio
+    ql.log_ratio = lambda raw, target, prior: seen.append((raw.sum(), target.sum())) or plain(raw, target, prior)
+    try:
+        ql.fit(docs, docs.select("doc_id"))
+    finally:
+        ql.log_ratio = plain
+    ids = np.arange(n, dtype=np.uint64)
+    assert seen == [(n, (ts.mix(ids) % np.uint64(5) != 0).sum())]
+
+
+def test_quantile_is_interpolated(spark):
+    scores = spark.range(1000).selectExpr("cast(999 - id as double) as score")
+    assert ql._quantile(scores, 0.002) == pytest.approx(np.quantile(np.arange(1000), 0.002))
+    assert ql._quantile(scores.limit(0), 0.002) is None
