@@ -9,7 +9,8 @@ Only shingles found in some sketch make a candidate; candidates are verified by
 exact number of the item's shingles in the document.
 
 Shingles: A-Z lower-cased, words, five in a row; a text of fewer words is one shingle
-of all its words, and one without words has none.
+of all its words, and one without words has none.  So an item of one to four words is
+found in a document equal to it alone, and is not searched for inside longer ones.
 """
 
 from __future__ import annotations
