@@ -75,10 +75,12 @@ def verdicts(nodes: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFram
 def routes(damaged: DataFrame, edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     """(node) -> (node, root, route): the ways from roots to damaged nodes, found backwards from the damage.
 
-    Of several links into a node the least source is taken, so each damaged node has one
-    route; a node without a way from a root has no row.
+    Of several links into a node that from the source nearest to a root is taken, then the
+    least, so each damaged node that can be reached has a route; one without a way from a
+    root has no row.
     """
-    up = edges.groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("up"))
+    near = reach(roots, edges, most).select(F.col("node").alias("src"), "level")
+    up = edges.join(near, "src").groupBy(F.col("dst").alias("at")).agg(F.min(F.struct("level", "src")).alias("up")).select("at", F.col("up.src").alias("up"))
     walk = damaged.select("node", F.col("node").alias("at"), F.array("node").alias("route"))
     out = None
     for _ in range(most):
