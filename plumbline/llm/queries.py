@@ -84,7 +84,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
-    rows = token_files.with_starts(token_files.read_token_files(spark, path, digest=True))
+    rows = token_files.with_starts(token_files.read_token_files(spark, path, digest=True), path)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

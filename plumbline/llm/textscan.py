@@ -2,8 +2,7 @@
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; those bytes never occur
 inside a multi-byte character, so words can be found on bytes.  Memory is bounded by
-the slice (SLICE bytes, or one document if that is longer), and the arithmetic runs
-in blocks of BLOCK bytes.
+the slice (SLICE bytes, or one document if that is longer).
 """
 
 from __future__ import annotations
@@ -13,29 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 20
-BLOCK = 1 << 18
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(BLOCK + 1, base & _MASK, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(_P)
-_INV = _powers(pow(_P, -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (three xor-shifts, two multiplications)."""
     x = np.asarray(x, dtype=U64)
@@ -44,30 +30,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+_CHAINED = 256  # longer spans are hashed one by one
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), which ascend and do not overlap."""
-    n = len(starts)
-    out = np.zeros(n, dtype=U64)
-    i = 0
-    while i < n:
-        lo = starts[i]
-        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
-        if j <= i:  # one span longer than a block
-            h, scale, step = 0, 1, pow(_P, BLOCK, 1 << 64)
-            for k in range(int(lo), int(ends[i]), BLOCK):
-                part = buf[k : min(k + BLOCK, int(ends[i]))]
-                h = (h + scale * int((part.astype(U64) * _POW[: len(part)]).sum(dtype=U64))) & _MASK
-                scale = scale * step & _MASK
-            out[i] = h
-            i += 1
-            continue
-        hi = int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum(buf[lo:hi].astype(U64) * _POW[: hi - lo], dtype=U64, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * _INV[s]
-        i = j
-    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of the byte spans [start, end).
+
+    Eight bytes at a time are xored in and mixed (no polynomial, so texts of repetitive
+    structure do not meet); spans over 256 bytes get their XXH3.
+    """
+    length = np.asarray(ends - starts, dtype=np.int64)
+    out = mix(length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+    live = np.flatnonzero((length > 0) & (length <= _CHAINED))
+    if len(live):
+        numbers = eights(buf)
+        at, left, h = starts[live], length[live], out[live]
+        while len(live):
+            h = mix((h ^ (numbers[at] & _KEEP[np.minimum(left, 8)])) * U64(0xD1342543DE82EF95))
+            more = left > 8
+            out[live[~more]] = h[~more]
+            live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(length > _CHAINED).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[int(starts[i]) : int(ends[i])])
+    return out
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a from at[i] on and those of b from bt[i] on are equal, over length[i] bytes."""
+    out = np.ones(len(at), dtype=bool)
+    live = np.flatnonzero(length > 0)
+    x, y = eights(a), eights(b)
+    at, bt, left = at[live], bt[live], length[live]
+    while len(live):
+        equal = ((x[at] ^ y[bt]) & _KEEP[np.minimum(left, 8)]) == 0
+        out[live[~equal]] = False
+        more = equal & (left > 8)
+        live, at, bt, left = live[more], at[more] + 8, bt[more] + 8, left[more] - 8
+    return out
 
 
 def windows(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

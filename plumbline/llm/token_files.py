@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textscan as ts
-from plumbline.llm.session import ship, written
+from plumbline.llm.session import ship
 
 MAGIC, MAGIC_END = b"PLTOKEN1", b"PLINDEX1"
 HEADER = struct.Struct("<8s8sIB")
@@ -43,33 +43,36 @@ _after = _graphic | _lead
 
 
 class Encoder:
-    """Encodes texts; pieces met before are looked up.
+    """Encodes texts as the library does without settings; pieces met before are looked up.
 
     A byte-level BPE with the usual splitting pattern always parts a text before a single
     space between two visible characters, and encodes the parts independently.  Texts are cut
     there, and each distinct part is encoded once.  Cuts are made only where both neighbours
-    are ASCII or from U+00C0 to U+07FF, which hold no white space but the ASCII ones.
-    The memory of parts is bounded; it is emptied when full, which changes no result.
+    are ASCII or from U+00C0 to U+07FF, which hold no white space but the ASCII ones, and none
+    inside or next to a string of the tokenizer's added tokens, which the library finds first.
+    A part is taken for one met before only if its bytes are equal; parts over LONGEST bytes
+    are encoded each time.  The memory of parts is bounded; it is emptied when full, which
+    changes no result.
     """
 
-    MOST, LONGEST = 1_500_000, 48
+    MOST, LONGEST = 1_000_000, 48
 
-    def __init__(self, path: str, specials_as_text: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = specials_as_text
+        self.added = sorted({t.content.encode() for t in self.tok.get_added_tokens_decoder().values()} - {b""})
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(1 << 16, dtype=self.kind)
-        self.used = 0
+        self.at, self.text_at = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.size, self.text_size = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8)
+        self.ids = _Growing(self.kind)
+        self.text = _Growing(np.uint8)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a few at a time, as the tokenizer's own results are large."""
@@ -78,62 +81,97 @@ class Encoder:
             out += [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
         return out
 
-    def _keep(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), dtype=self.kind)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
+    def _pieces(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """starts and ends of the parts of all documents."""
+        cut = np.flatnonzero(buf[2:-1] == 32) + 2 if len(buf) > 3 else np.zeros(0, dtype=np.int64)
+        before = _graphic[buf[cut - 1]] | ((buf[cut - 1] & 0xC0) == 0x80) & _lead[buf[cut - 2]]
+        cut = cut[before & _after[buf[cut + 1]]]
+        data = buf.tobytes()
+        for content in self.added:
+            found = data.find(content)
+            while found >= 0:
+                cut = cut[(cut < found - 1) | (cut > found + len(content) + 1)]
+                found = data.find(content, found + 1)
+        first = np.zeros(len(buf), dtype=bool)
+        first[cut] = first[offs[:-1][np.diff(offs) > 0]] = True
+        starts = np.flatnonzero(first)
+        return starts, np.concatenate([starts[1:], [len(buf)]])
 
     def encode(self, part: ts.Slice) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice, and the index of each one's first id (n_docs + 1)."""
         buf, offs = part.buf, part.offs
         if not len(buf):
             return np.zeros(0, dtype=self.kind), np.zeros(part.n_docs + 1, dtype=np.int64)
-        cut = np.flatnonzero(buf[2:-1] == 32) + 2 if len(buf) > 3 else np.zeros(0, dtype=np.int64)
-        before = _graphic[buf[cut - 1]] | ((buf[cut - 1] & 0xC0) == 0x80) & _lead[buf[cut - 2]]
-        cut = cut[before & _after[buf[cut + 1]]]
-        starts = np.union1d(cut, offs[:-1][np.diff(offs) > 0])
-        ends = np.concatenate([starts[1:], [len(buf)]])
-        if len(self.keys) > self.MOST:
+        if len(self.keys) > self.MOST or self.ids.used > 8 * self.MOST:
             self._forget()
-        hashes = ts.span_hashes(buf, starts, ends)
-        distinct, which, back = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, ends = self._pieces(buf, offs)
+        length = ends - starts
+        distinct, which, back = np.unique(ts.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        twin = which[back]  # the first piece of the same hash; equal, or not shared at all
+        other = np.flatnonzero(twin != np.arange(len(twin)))
+        same = (length[other] <= self.LONGEST) & (length[other] == length[twin[other]])
+        same[same] = ts.same_spans(buf, starts[other[same]], buf, starts[twin[other[same]]], length[other[same]])
+        alone = other[~same]
         slot = np.searchsorted(self.keys, distinct)
         known = slot < len(self.keys)
         known[known] = self.keys[slot[known]] == distinct[known]
-        at, size = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
-        at[known], size[known] = self.at[slot[known]], self.size[slot[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
+        taken = np.flatnonzero(known)
+        old = slot[taken]
+        equal = self.text_size[old] == length[which[taken]]
+        equal[equal] = ts.same_spans(buf, starts[which[taken[equal]]], self.text.all(), self.text_at[old[equal]], length[which[taken[equal]]])
+        met = taken[equal]
+        at, size = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        at[which[met]], size[which[met]] = self.at[slot[met]], self.size[slot[met]]
+        fresh = np.ones(len(distinct), dtype=bool)
+        fresh[met] = False
+        new = np.flatnonzero(fresh)
+        encoded = np.concatenate([which[new], alone])
+        if len(encoded):
             data = buf.tobytes()
-            a, b = starts[which[new]].tolist(), ends[which[new]].tolist()
-            got = self._ids([data[x:y].decode("utf-8", "replace") for x, y in zip(a, b)])
-            size[new] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            first = self._keep(np.concatenate(got))
-            at[new] = first + np.cumsum(size[new]) - size[new]
-            short = new[(ends - starts)[which[new]] <= self.LONGEST]
+            got = self._ids([data[x:y].decode("utf-8", "replace") for x, y in zip(starts[encoded].tolist(), ends[encoded].tolist())])
+            size[encoded] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            at[encoded] = self.ids.add(np.concatenate(got)) + np.cumsum(size[encoded]) - size[encoded]
+            short = new[(length[which[new]] <= self.LONGEST) & ~known[new]]  # a hash that another text holds stays with it
+            first = which[short]
             where = np.searchsorted(self.keys, distinct[short])
+            text_at = self.text.add(buf[ts.ragged(starts[first], length[first])]) + np.cumsum(length[first]) - length[first]
             self.keys = np.insert(self.keys, where, distinct[short])
-            self.at = np.insert(self.at, where, at[short])
-            self.size = np.insert(self.size, where, size[short])
-        lengths = size[back]
-        ids = self.ids[ts.ragged(at[back], lengths)]
+            for name, values in (("at", at[first]), ("size", size[first]), ("text_at", text_at), ("text_size", length[first])):
+                setattr(self, name, np.insert(getattr(self, name), where, values))
+        source = twin
+        source[alone] = alone
+        lengths = size[source]
+        ids = self.ids.all()[ts.ragged(at[source], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        if self.used > 8 * self.MOST:
-            self._forget()
         return ids, total[np.searchsorted(starts, offs)]
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+class _Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, kind):
+        self.held, self.used = np.zeros(1 << 16, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        if self.used + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(len(self.held), len(values)), dtype=self.held.dtype)])
+        self.held[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
 
+    def all(self) -> np.ndarray:
+        return self.held[: self.used]
 
-def encoder(path: str, specials_as_text: bool = True) -> Encoder:
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder a process: Python workers are reused, and so is what they remember."""
-    key = path, specials_as_text
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, specials_as_text)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _hash(dictionary: bytes) -> bytes:
@@ -200,15 +238,16 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, dict
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: int = 3, dictionary: bytes | None = None
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: int = 3, dictionary: bytes | None = None, shard_bytes: int = 128 << 20
 ) -> None:
-    """(doc_id, text, ...) -> shards under path/shards and the dictionary under path/dictionary.
+    """(doc_id, text, ...) -> path/shards, the dictionary in path/dictionary, and path/manifest.
 
     tokenizer: path of a tokenizers file (on every machine).  Ids of the whole text, then
     end_id; a null or empty text has end_id alone.  Shards ascend in doc_id (null first), and
     so do documents in a shard; rows with an equal doc_id are ordered by the text's hash and
     the text.  Repeated rows are kept; other columns are not looked at.  An empty table
-    writes no records.
+    writes no records.  There are as many shards as keep the text of one near shard_bytes
+    (equal rows share one), and at least as many as the session's shuffle partitions.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -216,16 +255,20 @@ def write_token_files(
     if dictionary is None:
         dictionary = train_dictionary(docs, tokenizer)
     spark.createDataFrame([(bytearray(dictionary), end_id)], "dictionary binary, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     ordered = docs.withColumn("_h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
-    shards = ordered.mapInArrow(lambda b: _shards(b, tokenizer, end_id, dictionary, level), "record binary")
-    shards.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
+    ordered = ordered.repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
+    records = ordered.mapInArrow(lambda b: _shards(b, tokenizer, end_id, dictionary, level), "record binary")
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where("length > 0").select("path", "content")
+    files.mapInArrow(lambda b: _manifest(b, dictionary), _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 class Shard:
     """One shard's bytes: its number, its index, and any document's ids."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
+    def __init__(self, data: bytes | memoryview, dictionary: bytes):
         magic, hash_, self.number, width = HEADER.unpack_from(data)
         end, at, length, n, again = TRAILER.unpack_from(data, len(data) - 1 - TRAILER.size)
         if magic != MAGIC or end != MAGIC_END or hash_ != again:
@@ -243,18 +286,29 @@ class Shard:
         return np.frombuffer(self.unzip.decompress(self.data[a : a + int(self.length[i])]), dtype=self.kind).astype("<u4")
 
 
+_MANIFEST = "shard long, file string, first_id long, last_id long, without_id long, documents long, tokens long"
+
+
+def _manifest(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """One row a shard: its file, the ids it holds, and how much."""
+    for batch in batches:
+        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            shard = Shard(memoryview(raw.as_buffer()), dictionary)
+            ids = shard.doc_id[shard.known]
+            row = (shard.number, name.rpartition("/")[2], *((int(ids[0]), int(ids[-1])) if len(ids) else (None, None)), int((~shard.known).sum()), len(shard.doc_id), int(shard.n_tokens.sum()))
+            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
+
+
 def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes, only: list[int] | None, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):
-            data = raw.as_py()
-            if not data:
-                continue
-            shard = Shard(data, dictionary)
+            shard = Shard(memoryview(raw.as_buffer()), dictionary)
             n = len(shard.doc_id)
             take = np.arange(n) if only is None else np.flatnonzero(shard.known & np.isin(shard.doc_id, only))
             starts = np.cumsum(shard.n_tokens) - shard.n_tokens
-            for k in range(0, len(take), 4096):
-                some = take[k : k + 4096]
+            for k in range(0, len(take), 1024):
+                some = take[k : k + 1024]
                 ids = [shard.ids(i) for i in some.tolist()]
                 values = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()) if digest else pa.array(ids, pa.list_(pa.int64()))
                 counted = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
@@ -275,23 +329,29 @@ def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes, only: list[int]
 def read_token_files(spark: SparkSession, path: str, only: list[int] | None = None, digest: bool = False) -> DataFrame:
     """(shard, doc_id, start_in_shard, n_tokens, ids), or ids_crc32 in place of ids with digest.
 
-    only: doc_ids to fetch; other documents' frames are not touched.
+    only: doc_ids to fetch.  The manifest tells the shards that may hold them; no other file is
+    read, and in those no other document's frame is touched.
     """
     ship(spark)
     kept = spark.read.parquet(f"{path}/dictionary").first()
     dictionary = bytes(kept["dictionary"])
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where("length > 0").select("content")
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return files.mapInArrow(
-        lambda b: _read(b, dictionary, only, digest), f"shard long, doc_id long, start_in_shard long, n_tokens long, {last}"
-    )
-
-
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Rows of read_token_files with `start`: the ids of all documents before, over all shards."""
-    rows = written(rows, "tokenrows")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = totals.select(
-        "shard", (F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before")
-    )
-    return rows.join(written(before, "shardstarts"), "shard").withColumn("start", F.col("start_in_shard") + F.col("_before")).drop("_before")
+    schema = f"shard long, doc_id long, start_in_shard long, n_tokens long, {last}"
+    where = f"{path}/shards"
+    if only is not None:
+        wanted = spark.createDataFrame([(x,) for x in sorted(set(only))], "id long")
+        manifest = spark.read.parquet(f"{path}/manifest")
+        files = manifest.join(F.broadcast(wanted), (F.col("id") >= F.col("first_id")) & (F.col("id") <= F.col("last_id"))).select("file").distinct()
+        where = [f"{path}/shards/{r[0]}" for r in files.collect()]
+        if not where:
+            return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(where).where("length > 0").select("content")
+    return files.mapInArrow(lambda b: _read(b, dictionary, only, digest), schema)
+
+
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of read_token_files with `start`: the ids of all documents before, over all shards (one row each in the manifest)."""
+    manifest = rows.sparkSession.read.parquet(f"{path}/manifest")
+    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    before = manifest.select("shard", before.alias("_before"))
+    return rows.join(before, "shard").withColumn("start", F.col("start_in_shard") + F.col("_before")).drop("_before")

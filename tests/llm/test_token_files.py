@@ -19,9 +19,7 @@ alphabet = list("ab'sé 'tA1.,\n\t ß") + [" ", "　", "́", "漢", "😀", "
 def plain():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=400, deadline=None)
@@ -34,6 +32,29 @@ def test_pieces_encode_as_whole_texts(values):
             assert ids[first[i] : first[i + 1]].tolist() == whole.encode(values[part.first + i], add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n)), "".join("ba"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_texts_of_like_structure_keep_their_own_ids():
+    for values in (thue_morse(1024), thue_morse(4096), [x + " y" for x in thue_morse(2048)]):
+        ids, first = tf.Encoder(PATH).encode(next(ts.slices(pa.array(values))))
+        assert [ids[first[i] : first[i + 1]].tolist() for i in range(2)] == [e.ids for e in plain().encode_batch(list(values), add_special_tokens=False)]
+
+
+def test_pieces_whose_hashes_meet_are_told_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(ts, "span_hashes", lambda buf, a, b: ((b - a) % 3).astype(np.uint64))
+    enc, texts = tf.Encoder(PATH), ["some words of one length abc xyz", "x" * 90 + " " + "y" * 90, "abc def abc ghi" * 2, "<|endoftext|>"]
+    for values in (texts, texts[::-1], texts):
+        ids, first = enc.encode(next(ts.slices(pa.array(values))))
+        assert [ids[first[i] : first[i + 1]].tolist() for i in range(4)] == [e.ids for e in plain().encode_batch(values, add_special_tokens=False)]
+
+
+def test_special_strings_are_the_librarys_tokens():
+    ids, _ = tf.encoder(PATH).encode(next(ts.slices(pa.array(["a <|endoftext|> b"]))))
+    assert 50256 in ids.tolist() and ids.tolist() == plain().encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     enc = tf.Encoder(PATH)
     monkeypatch.setattr(tf.Encoder, "MOST", 3)
@@ -51,7 +72,7 @@ def test_round_trip(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], "doc_id long, text string, start string, n_tokens int")
     path = shared_path(spark, "t")
     tf.write_token_files(df.repartition(3), path, PATH)
-    rows = sorted(tf.with_starts(tf.read_token_files(spark, path)).collect(), key=lambda r: r["start"])
+    rows = sorted(tf.with_starts(tf.read_token_files(spark, path), path).collect(), key=lambda r: r["start"])
     want = [(d, plain().encode(t or "", add_special_tokens=False).ids + [2]) for d, t in ROWS]
     key = lambda x: (x[0] is not None, x[0] or 0)
     assert [r["doc_id"] for r in rows] == [d for d, _ in sorted(want, key=key)]
@@ -61,6 +82,18 @@ def test_round_trip(spark):
     assert all(crc[d, len(i)] == zlib.crc32(np.array(i, dtype="<u4").tobytes()) for d, i in want)
     only = tf.read_token_files(spark, path, only=[2, 11]).collect()
     assert sorted(r["doc_id"] for r in only) == [2, 2, 11]
+    assert tf.read_token_files(spark, path, only=[10**9]).count() == 0
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    assert sum(r["documents"] for r in manifest) == len(ROWS) and sum(r["without_id"] for r in manifest) == 1
+    assert sum(r["tokens"] for r in manifest) == sum(r["n_tokens"] for r in rows)
+
+
+def test_shards_are_bounded_by_bytes(spark):
+    path = shared_path(spark, "t")
+    df = spark.range(60).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 100) AS text")
+    tf.write_token_files(df, path, PATH, shard_bytes=4000)
+    assert spark.read.parquet(f"{path}/manifest").count() >= 9
+    assert [r["doc_id"] for r in tf.with_starts(tf.read_token_files(spark, path), path).orderBy("start").collect()] == list(range(60))
 
 
 def test_a_torn_or_foreign_shard_is_refused(spark):
@@ -81,4 +114,4 @@ def test_a_torn_or_foreign_shard_is_refused(spark):
 def test_empty_table(spark):
     path = shared_path(spark, "t")
     tf.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
-    assert tf.with_starts(tf.read_token_files(spark, path)).count() == 0
+    assert tf.with_starts(tf.read_token_files(spark, path), path).count() == 0
