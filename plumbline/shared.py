@@ -17,10 +17,12 @@ _shipped: "weakref.WeakSet" = weakref.WeakSet()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local test session) a temporary folder is made and set.
+    Only where that is unset and the session is local a temporary folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,24 +41,61 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def release(spark: SparkSession) -> int:
     """Delete what this application wrote to the shared folder; for when its results have been stored elsewhere."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again.
 
     This cuts the lineage: an executor that is lost afterwards takes nothing with it,
-    and Spark plans what follows with the table's true size.
+    and Spark plans what follows with the table's true size.  The shuffle files of the
+    write are dropped when it has ended.
     """
+    return _write(df, shared_path(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed until a result is written, and then deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        return _write(df, path)
+
+    def release(self) -> None:
+        _delete(self.spark, self.paths)
+        made = _made.get(self.spark.sparkContext.applicationId, [])
+        made[:] = [p for p in made if p not in set(self.paths)]
+        self.paths = []
+
+
 #: Bytes of an Arrow batch, unless the session sets its own: what a Python worker and the JVM hold of one at a time.
 ARROW_BYTES = 8 << 20
 _BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
