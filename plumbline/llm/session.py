@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.shared import shared_dir, shared_path, ship, written
+from plumbline.shared import Scratch, shared_dir, shared_path, ship, written
 
-__all__ = ["shared_dir", "shared_path", "ship", "table", "written"]
+__all__ = ["Scratch", "shared_dir", "shared_path", "ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 The root is the smoothed unigram distribution of all training words.  Below it are
 contexts of one to `depth` preceding words.  A context is a candidate if it occurs often
-enough; it is retained if the counts after it diverge from what its longest retained
-suffix predicts (a likelihood-ratio test).  After a retained context s, each stored word
-w has probability
+enough.  A word after it is stored if it comes more often than the context's longest
+retained suffix predicts (its share of the likelihood ratio reaches GAIN), and the context
+is retained if all it stores diverges from the prediction (a likelihood-ratio test).  After
+a retained context s, each stored word w has probability
 
     c(s, w) / (c(s) + kappa)  +  (1 - stored mass of s) * P(w | suffix of s)
 
@@ -19,8 +20,8 @@ probability of a text is its unigram one and a weight for each run of words in i
     for each stored pair (s, w)
 
 so the most frequent runs are looked up in the executors, and all others are joined.
-What is sent is bounded (TOP words, HOT runs, 2^26 bits that tell runs without a weight);
-the bits only save rows, and no result depends on them.
+What is sent is bounded (TOP words, HOT runs, twice 2^27 bits that tell runs without a
+weight); the bits only save rows, and no result depends on them.
 
 train() makes a tree in memory, of contexts that make up p_min of the training words.
 Words are known by 64-bit hashes.
@@ -38,13 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textscan as ts
-from plumbline.llm.session import ship, written
+from plumbline.llm.session import Scratch, ship, written
 
-TOP = 1 << 16
-HOT = 1 << 19
+TOP = 1 << 18
+HOT = 1 << 21
+GAIN = 10.83  # chi square of one degree of freedom, exceeded by chance once in a thousand
 END = np.uint64(0x454E44)
 _FLUSH = 1 << 21
-_SLOTS = 20  # log2 of the 64-bit slots of a filter
+_SLOTS = 21  # log2 of the 64-bit slots of a filter
 _GRID = float(1 << 30)  # weights are whole multiples of its inverse, so sums do not depend on the order
 
 
@@ -188,8 +190,6 @@ def _retain(tree: Tree, d: int, codes: np.ndarray, n: np.ndarray, gamma_min: flo
     level = tree.levels[d]
     size = len(level.contexts)
     context, word = codes // TOP, codes % TOP
-    strong = n >= gamma_min * level.counts[context]
-    codes, n, context, word = codes[strong], n[strong], context[strong], word[strong]
     before = tree.root(tree.counts[word])
     for k in range(d):  # what the suffixes of the context, shortest first, make of the word
         up = tree.levels[k]
@@ -197,6 +197,8 @@ def _retain(tree: Tree, d: int, codes: np.ndarray, n: np.ndarray, gamma_min: flo
         suffix = np.array([numbers.get(tuple(w[-(k + 1) :]), -1) for w in level.words.tolist()], dtype=np.int64)[context]
         before = _step(up, suffix, word, before)
     p = n / level.counts[context]
+    strong = (n >= gamma_min * level.counts[context]) & (2 * n * np.log(p / before) >= GAIN)
+    codes, n, context, word, before, p = (x[strong] for x in (codes, n, context, word, before, p))
     add = lambda x: np.bincount(context, weights=x, minlength=size)
     inside, expected, entries = np.minimum(add(p), 1.0), np.minimum(add(before), 1.0), add(np.ones(len(p)))
     out, out_expected = np.maximum(1 - inside, 1e-12), np.maximum(1 - expected, 1e-12)
@@ -216,17 +218,23 @@ class Runs:
     longest: int
     hashes: np.ndarray  # of the most frequent, sorted
     weights: np.ndarray
-    filter: np.ndarray
+    contexts: np.ndarray  # bits of the retained contexts
+    pairs: np.ndarray  # bits of the stored pairs, each a context and a word
 
     def sent(self) -> Runs:
-        return Runs(None, self.longest, self.hashes, self.weights, self.filter)
+        return Runs(None, self.longest, self.hashes, self.weights, self.contexts, self.pairs)
 
     def weigh(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each document's weight of frequent runs, the other runs that may have one, and how many those are."""
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         sums, things, docs = np.zeros(len(first) - 1), [], []
+        before = np.zeros(len(h), dtype=bool)  # whether the run without its last word may be a context
         for gram, whole in _grams(h, first, self.longest):
-            some = np.flatnonzero(whole & _passes(self.filter, gram))
+            context = whole & _passes(self.contexts, gram)
+            pair = np.flatnonzero(whole & before[: len(gram)])
+            some = context.copy()
+            some[pair] |= _passes(self.pairs, gram[pair])
+            some, before = np.flatnonzero(some), context
             at = _find(self.hashes, gram[some])
             hot = at >= 0
             if hot.any():
@@ -278,8 +286,8 @@ def _runs(part: ts.Slice, length: int, bits: np.ndarray) -> tuple[np.ndarray, np
     return gram[at], gram[at + 1]
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of `length` words that pass the filter `often`, and their two shorter runs `bits`."""
+def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of `length` words that pass the filter `often`, if there is one, and their two shorter runs `bits`."""
     held, n = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -292,10 +300,12 @@ def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray
     for batch in batches:
         for part in ts.slices(batch.column(0), lower=True):
             prefix, suffix = _runs(part, length, bits)
-            some = _passes(often, _join_runs(prefix, suffix))
-            held.append((prefix[some], suffix[some]))
-            n += len(held[-1][0])
-            if n >= _FLUSH // 4:
+            if often is not None:
+                some = _passes(often, _join_runs(prefix, suffix))
+                prefix, suffix = prefix[some], suffix[some]
+            held.append((prefix, suffix))
+            n += len(prefix)
+            if n >= _FLUSH // 2:
                 yield flush()
                 held, n = [], 0
     if n:
@@ -320,48 +330,57 @@ def grow(
         raise ValueError("support must be least_pair or more")
     texts = texts.select(F.col("text").cast("string").alias("text"))
     tree, vocabulary = _root(texts)
+    scratch = Scratch(texts.sparkSession)
     root = (F.col("n") + F.lit(0.5)) / F.lit(tree.total + 0.5 * (tree.distinct + 1))
     end = F.lit(int(END))
     now = vocabulary.where(F.col("n") >= least_pair).select("thing", "n", root.alias("p"), (F.col("thing") == end).alias("ends"))
-    weights = None
+    contexts = pairs_of = None
     for length in range(2, depth + 2):
-        bits = _filter(now)
-        # the 40 bits of a hash count at least as often as each run that has them: few runs are left to be counted in full
-        rough = _counts(texts, lambda part, length=length, bits=bits: _join_runs(*_runs(part, length, bits)) >> np.uint64(24))
-        often = _filter(rough.where(F.col("n") >= least_pair).select(F.shiftleft("thing", 24).alias("thing")))
+        bits, often = _filter(now), None
+        if length == 2:  # longer runs are few, as both shorter ones must be frequent
+            # the 40 bits of a hash count at least as often as each run that has them: few runs are left to be counted in full
+            rough = _counts(texts, lambda part, length=length, bits=bits: _join_runs(*_runs(part, length, bits)) >> np.uint64(24))
+            rough = scratch.written(rough.where(F.col("n") >= least_pair).select(F.shiftleft("thing", 24).alias("thing")), "rough")
+            often = _filter(rough)
         found = texts.mapInArrow(lambda b, length=length, bits=bits, often=often: _count_runs(b, length, bits, often), "prefix long, suffix long, n long")
         found = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pair)
-        contexts = now.where((F.col("n") >= support) & ~F.col("ends")).select(F.col("thing").alias("prefix"), F.col("n").alias("c"))
+        candidates = now.where((F.col("n") >= support) & ~F.col("ends")).select(F.col("thing").alias("prefix"), F.col("n").alias("c"))
         before = now.select(F.col("thing").alias("suffix"), F.col("p").alias("before"), "ends")
-        pairs = written(found.join(contexts, "prefix").join(before, "suffix").select("prefix", "suffix", "n", "c", "before", "ends"), "pairs")
-        kept = written(_retained(pairs, kappa), "retained")
-        mass, rest = F.col("n") / (F.col("c") + F.lit(kappa)), F.col("rest")
+        pairs = scratch.written(found.join(candidates, "prefix").join(before, "suffix").select("prefix", "suffix", "n", "c", "before", "ends"), "pairs")
+        kept = scratch.written(_retained(pairs, kappa), "retained")
+        mass, rest = F.when(_tells(), F.col("n") / (F.col("c") + F.lit(kappa))).otherwise(0.0), F.col("rest")
         now = pairs.join(kept.select("prefix", "rest"), "prefix", "left").select(
             "prefix",
             "suffix",
             "n",
             F.when(rest.isNull(), F.col("before")).otherwise(rest * F.col("before") + mass).alias("p"),
-            F.when(rest.isNotNull(), F.log10(1 + mass / (rest * F.col("before")))).alias("weight"),
+            F.when(rest.isNotNull() & _tells(), F.log10(1 + mass / (rest * F.col("before")))).alias("weight"),
             "ends",
         )
-        now = written(now.mapInArrow(_name_runs, "prefix long, suffix long, n long, p double, weight double, ends boolean, thing long"), "runs")
-        for more in (
-            kept.select(F.col("prefix").alias("thing"), F.col("c").alias("n"), F.log10("rest").alias("weight")),
-            now.where("weight is not null").select("thing", "n", "weight"),
-        ):
-            weights = more if weights is None else weights.unionByName(more)
-    weights = weights.groupBy("thing").agg(F.max("n").alias("n"), (F.sum(F.round(F.col("weight") * _GRID)) / F.lit(_GRID)).alias("weight"))
+        now = scratch.written(now.mapInArrow(_name_runs, "prefix long, suffix long, n long, p double, weight double, ends boolean, thing long"), "runs")
+        context = kept.select(F.col("prefix").alias("thing"), F.col("c").alias("n"), F.log10("rest").alias("weight"))
+        pair = now.where("weight is not null").select("thing", "n", "weight")
+        contexts = context if contexts is None else contexts.unionByName(context)
+        pairs_of = pair if pairs_of is None else pairs_of.unionByName(pair)
+    weights = contexts.unionByName(pairs_of).groupBy("thing").agg(F.max("n").alias("n"), (F.sum(F.round(F.col("weight") * _GRID)) / F.lit(_GRID)).alias("weight"))
     weights = written(weights, "weights")
     hot, _, weight = _arrays(weights.orderBy(F.desc("n"), "thing").limit(HOT))
     hashes = hot.view(np.uint64)
     order = np.argsort(hashes)
-    return tree, vocabulary, Runs(weights, depth + 1, hashes[order], weight[order].astype(np.float64), _filter(weights))
+    runs = Runs(weights, depth + 1, hashes[order], weight[order].astype(np.float64), _filter(contexts), _filter(pairs_of))
+    scratch.release()
+    return tree, vocabulary, runs
+
+
+def _tells() -> Column:
+    """Whether a pair comes so much more often than predicted that it is stored."""
+    return 2 * F.col("n") * F.log(F.col("n") / F.col("c") / F.col("before")) >= F.lit(GAIN)
 
 
 def _retained(pairs: DataFrame, kappa: float) -> DataFrame:
     """(prefix, c, rest) of the contexts that pass the divergence test of _retain()."""
     p = F.col("n") / F.col("c")
-    each = pairs.groupBy("prefix").agg(
+    each = pairs.where(_tells()).groupBy("prefix").agg(
         F.max("c").alias("c"),
         F.least(F.sum(p), F.lit(1.0)).alias("inside"),
         F.least(F.sum("before"), F.lit(1.0)).alias("expected"),
