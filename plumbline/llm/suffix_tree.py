@@ -20,7 +20,7 @@ probability of a text is its unigram one and a weight for each run of words in i
     for each stored pair (s, w)
 
 so the most frequent runs are looked up in the executors, and all others are joined.
-What is sent is bounded (TOP words, HOT runs, twice 2^27 bits that tell runs without a
+What is sent is bounded (TOP words, HOT runs, twice 2^26 bits that tell runs without a
 weight); the bits only save rows, and no result depends on them.
 
 train() makes a tree in memory, of contexts that make up p_min of the training words.
@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 from plumbline.llm import textscan as ts
 from plumbline.llm.session import Scratch, ship, written
 
-TOP = 1 << 18
-HOT = 1 << 21
+TOP = 1 << 17
+HOT = 1 << 17
 GAIN = 10.83  # chi square of one degree of freedom, exceeded by chance once in a thousand
 END = np.uint64(0x454E44)
 _FLUSH = 1 << 21
-_SLOTS = 21  # log2 of the 64-bit slots of a filter
+_SLOTS = 20  # log2 of the 64-bit slots of a filter
 _GRID = float(1 << 30)  # weights are whole multiples of its inverse, so sums do not depend on the order
 
 
@@ -274,20 +274,21 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)] >> ((h >> np.uint64(58 - _SLOTS)) & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _runs(part: ts.Slice, length: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of `length` words whose two shorter runs pass the filter, as those two."""
+def _runs(part: ts.Slice, length: int, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `length` words whose two shorter runs, the first and the last words, pass their filters, as those two."""
     h, first = _tokens(part)
     for gram, whole in _grams(h, first, length - 1):
         pass
     inner = np.ones(len(h), dtype=bool)
     inner[first[1:] - 1] = False
-    good = whole & _passes(bits, gram)
-    at = np.flatnonzero(good[:-1] & good[1:] & inner[: max(len(gram) - 1, 0)])
+    at = np.flatnonzero(whole[:-1] & whole[1:] & inner[: max(len(gram) - 1, 0)])
+    at = at[_passes(before, gram[at])]
+    at = at[_passes(after, gram[at + 1])]
     return gram[at], gram[at + 1]
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of `length` words that pass the filter `often`, if there is one, and their two shorter runs `bits`."""
+def _count_runs(batches: Iterator[pa.RecordBatch], length: int, before: np.ndarray, after: np.ndarray, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of `length` words that pass the filter `often`, if there is one, and whose two shorter runs pass `before` and `after`."""
     held, n = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -299,7 +300,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray
 
     for batch in batches:
         for part in ts.slices(batch.column(0), lower=True):
-            prefix, suffix = _runs(part, length, bits)
+            prefix, suffix = _runs(part, length, before, after)
             if often is not None:
                 some = _passes(often, _join_runs(prefix, suffix))
                 prefix, suffix = prefix[some], suffix[some]
@@ -336,15 +337,14 @@ def grow(
     now = vocabulary.where(F.col("n") >= least_pair).select("thing", "n", root.alias("p"), (F.col("thing") == end).alias("ends"))
     contexts = pairs_of = None
     for length in range(2, depth + 2):
-        bits, often = _filter(now), None
+        candidates = now.where((F.col("n") >= support) & ~F.col("ends")).select(F.col("thing").alias("prefix"), F.col("n").alias("c"))
+        may, after, often = _filter(candidates.select(F.col("prefix").alias("thing"))), _filter(now), None
         if length == 2:  # longer runs are few, as both shorter ones must be frequent
             # the 40 bits of a hash count at least as often as each run that has them: few runs are left to be counted in full
-            rough = _counts(texts, lambda part, length=length, bits=bits: _join_runs(*_runs(part, length, bits)) >> np.uint64(24))
-            rough = scratch.written(rough.where(F.col("n") >= least_pair).select(F.shiftleft("thing", 24).alias("thing")), "rough")
-            often = _filter(rough)
-        found = texts.mapInArrow(lambda b, length=length, bits=bits, often=often: _count_runs(b, length, bits, often), "prefix long, suffix long, n long")
+            rough = _counts(texts, lambda part, may=may, after=after: _join_runs(*_runs(part, 2, may, after)) >> np.uint64(24))
+            often = _filter(scratch.written(rough.where(F.col("n") >= least_pair).select(F.shiftleft("thing", 24).alias("thing")), "rough"))
+        found = texts.mapInArrow(lambda b, length=length, may=may, after=after, often=often: _count_runs(b, length, may, after, often), "prefix long, suffix long, n long")
         found = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pair)
-        candidates = now.where((F.col("n") >= support) & ~F.col("ends")).select(F.col("thing").alias("prefix"), F.col("n").alias("c"))
         before = now.select(F.col("thing").alias("suffix"), F.col("p").alias("before"), "ends")
         pairs = scratch.written(found.join(candidates, "prefix").join(before, "suffix").select("prefix", "suffix", "n", "c", "before", "ends"), "pairs")
         kept = scratch.written(_retained(pairs, kappa), "retained")
@@ -471,12 +471,13 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str]
     away = first.select("_row", F.explode("_away").alias("thing"))
     joined = away.join(vocabulary.withColumnRenamed("n", "_n"), "thing", "left")
     each = F.log10((F.coalesce("_n", F.lit(0)) + F.lit(0.5)) / F.lit(n + 0.5 * (v + 1)))
-    sums = joined.groupBy("_row").agg(F.sum(each).alias("_more"), F.count("_n").alias("_found"))
+    sums = written(joined.groupBy("_row").agg(F.sum(each).alias("_more"), F.count("_n").alias("_found")), "awaysums")
     more = F.coalesce("_more", F.lit(0.0))
-    joined, below = first.join(sums, "_row", "left"), F.lit(0.0)
+    joined, below = first.drop("_away", "_deep").join(sums, "_row", "left"), F.lit(0.0)
     if runs is not None:
         deep = first.select("_row", F.explode("_deep").alias("thing")).join(runs.table.select("thing", "weight"), "thing")
-        joined = joined.join(deep.groupBy("_row").agg(F.sum("weight").alias("_below")), "_row", "left")
+        deep = written(deep.groupBy("_row").agg(F.sum("weight").alias("_below")), "deepsums")
+        joined = joined.join(deep, "_row", "left")
         below = F.coalesce("_below", F.lit(0.0))
     return joined.select(
         *carried,
