@@ -37,6 +37,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES, mined)
 
 
+def written_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that the written rules alone decide."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_filters.host(F.col("url")), url_filters.path(F.col("url"))
+    found = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_r", url_filters.written_rule(F.col("host"), F.col("path"), URL_RULES))
+    return found.where("_r is not null").select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     net = language_id.train(docs.where("not held_out").select("doc_id", "text", "lang"))
@@ -73,7 +81,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return chat.digests(chat.format_events(chat.turns_as_events(turns.unionByName(more))))
+    return chat.digests(chat.format_events(chat.turns_as_log(turns.unionByName(more))))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +110,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_url_filters,
+            written_url_rules,
             op2_language_id,
             op3_mixing,
             op4_warc,
@@ -118,6 +127,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The others train a model, tokenize, or hash with XXH64; tests/llm hold them against brute force."""
     return {
+        "written_url_rules": sql.WRITTEN_URL_RULES,
         "op3_mixing": sql.OP3_MIXING,
         "op4_warc": sql.OP4_WARC,
         "op6_chat_format": sql.OP6_CHAT,

@@ -1,5 +1,16 @@
 """DuckDB SQL that says what the queries of this subpackage compute, where SQL can."""
 
+WRITTEN_URL_RULES = r"""
+WITH u AS (
+  SELECT page_id, regexp_replace(substr(url, strpos(url, '://') + 3), '[?#].*$', '', 's') AS rest FROM pages WHERE strpos(url, '://') > 0),
+p AS (
+  SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
+r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, p.host, p.path, r.host || r.path AS rule, verdict
+FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) = 1
+"""
+
 OP3_MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

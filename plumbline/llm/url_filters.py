@@ -1,8 +1,9 @@
 """URL filters: written rules first, then association rules mined from labelled pages.
 
 A url is a set of tokens.  Spark's FP-growth finds the token combinations that are
-frequent among labelled pages together with the label `block`; combinations whose
-confidence reaches a bound become rules.  A rule is indexed by its rarest token, so a
+frequent among labelled pages together with the label `block`.  A combination becomes a
+rule if its confidence is a multiple of the share of blocked pages (its lift), more than
+chance makes likely, and no part of it is a rule already.  A rule is indexed by its rarest token, so a
 url meets only rules that share a rare token with it; the rest of the rule is then
 compared.  Everything runs as DataFrame operations in the JVM.
 """
@@ -62,16 +63,20 @@ def written_rule(host_: Column, path_: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """The distinct tokens of a url: host, host labels, path segments (digits as 0), query keys, fragment."""
+    """The distinct tokens of a url: host, runs of letters of the host and of the path, query keys, fragment.
+
+    A null url, or one without ://, has the tokens of its query and fragment, if any.
+    """
     h, p = host(url), path(url)
     tagged = lambda tag, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
+    words = lambda text: F.split(F.translate(text, _UPPER, _LOWER), r"[^\p{L}\p{M}]+")
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
     keys = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^([^=]*)", 1))
     return F.array_distinct(
         F.concat(
             tagged("host:", F.array(h)),
-            tagged("label:", F.split(h, r"\.")),
-            tagged("path:", F.transform(F.split(p, "/"), lambda x: F.regexp_replace(x, r"\d+", "0"))),
+            tagged("in host:", words(h)),
+            tagged("in path:", words(p)),
             tagged("query:", keys),
             F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("#")), F.array(F.lit("fragment:"))).otherwise(F.array().cast("array<string>")),
         )
@@ -82,38 +87,47 @@ _RULES = "rule_id long, key string, rest array<string>, confidence double, suppo
 
 
 def mine(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, least: int = 10, partitions: int | None = None
+    labelled: DataFrame, min_support: float = 0.002, min_lift: float = 1.5, least: int = 5, chance: float = 1.64, partitions: int | None = None
 ) -> DataFrame:
     """(url, blocked boolean) -> association rules tokens => block: rule_id, key, rest, confidence, support.
 
-    Rows without a url or label do not count.  key is the rule's rarest token, ties to the
-    first by code point; rest its other tokens.  A rule is held up by min_support of the
-    rows and by `least` rows at least.  With fewer rows than that there are no rules.
+    Rows without a url or label do not count.  A rule is held up by min_support of the rows
+    and by `least` blocked rows at least; its confidence is min_lift times the share b of
+    blocked rows, and above b by `chance` standard deviations of a share of its n rows,
+    sqrt(b (1 - b) / n).  A rule that contains another is dropped, as it blocks nothing more.
+    key is the rule's rarest token, ties to the first by code point; rest its other tokens.
+    Of no rows, or no blocked ones, there are no rules.
     """
     spark = labelled.sparkSession
     rows = labelled.where("url is not null and blocked is not null")
     said = F.when(F.col("blocked"), F.lit(_CLASS + BLOCK)).otherwise(F.lit(_CLASS + ALLOW))
     items = written(rows.select(F.array_append(tokens(F.col("url")), said).alias("items")), "urltokens")
-    n = items.count()
-    if n < least:
+    n, bad = items.agg(F.count("*"), F.count_if(F.array_contains("items", _CLASS + BLOCK))).first()
+    if n < least or not bad:
         return spark.createDataFrame([], _RULES)
-    growth = FPGrowth(itemsCol="items", minSupport=max(min_support, least / n), minConfidence=min_confidence)
+    growth = FPGrowth(itemsCol="items", minSupport=max(min_support, least / n), minConfidence=min(1.0, min_lift * bad / n))
     if partitions:
         growth = growth.setNumPartitions(partitions)
     model = growth.fit(items)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _CLASS + BLOCK))
+    over = F.sqrt(F.lit(bad / n * (1 - bad / n)) * F.col("confidence") / (F.col("support") * F.lit(n)))
+    found = found.where((F.col("lift") >= min_lift) & (F.col("confidence") - F.lit(bad / n) >= F.lit(chance) * over))
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").where(~F.exists("tokens", lambda x: x.startswith(_CLASS)))
-    found = found.withColumn("rule_id", F.xxhash64("tokens"))
+    found = written(found.withColumn("rule_id", F.xxhash64("tokens")), "urlfound")
     rarest = (
         found.select("rule_id", F.explode("tokens").alias("token"))
         .join(single, "token")
         .groupBy("rule_id")
         .agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
     )
-    return found.join(rarest, "rule_id").select(
+    ruled = found.join(rarest, "rule_id").select(
         "rule_id", "key", F.array_remove("tokens", F.col("key")).alias("rest"), "confidence", "support"
     )
+    part = ruled.select("key", F.col("rest").alias("_rest"))
+    larger = found.select("rule_id", "tokens", F.explode("tokens").alias("key")).join(part, "key")
+    larger = larger.where((F.size("_rest") + 1 < F.size("tokens")) & (F.size(F.array_except("_rest", "tokens")) == 0))
+    return ruled.join(larger.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, rules: list[Rule], mined: DataFrame) -> DataFrame:
