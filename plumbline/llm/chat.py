@@ -14,6 +14,8 @@ Events (conv_id, turn, seq, kind, role, text), folded in this order for each tur
   regenerate  replaces its text, and undoes all that later turns had said before it
   delete      removes it, until a start, edit or regenerate brings it back
 
+Events of any other kind change nothing; rejected() lists them.
+
 The template writes a message as
 
     <|im_start|>ROLE LF TEXT<|im_end|> LF
@@ -31,14 +33,15 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.session import ship
+from plumbline.llm.session import ship, written
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 _TO_ESCAPE, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 LOSS_ROLE = "assistant"
+KINDS = ("message", "start", "delta", "edit", "regenerate", "delete")
 
 
 def escape(text: str) -> str:
@@ -69,6 +72,8 @@ class _Fold:
         self.turn, self.role, self.parts, self.seen_again = object(), None, None, None
 
     def event(self, turn, seq, kind, role, text) -> Iterator[tuple]:
+        if kind not in KINDS:
+            return
         if kind == "message" or turn != self.turn:
             yield from self.end()
             self.turn = turn
@@ -86,8 +91,6 @@ class _Fold:
                 self.parts, self.role = [text or ""], role
         elif kind == "delete":
             self.parts, self.role = None, self.role if self.role is not None else role or ""
-        else:
-            raise ValueError(f"unknown kind of event: {kind}")
         if kind == "message":
             yield from self.end()
 
@@ -130,7 +133,7 @@ def format_events(events: DataFrame) -> DataFrame:
     loss_end are the assistant text's place in its piece, null for other roles.  Partitions
     hold whole conversations, their rows in order.  Events of a null conv_id form one
     conversation; a null text is empty, a null role empty; ties in turn and seq are ordered
-    by kind, role and text.
+    by kind, role and text.  Events of an unknown kind are passed over (see rejected()).
     """
     ship(events.sparkSession)
     rows = events.select(
@@ -207,3 +210,47 @@ def conversations(formatted: DataFrame) -> DataFrame:
 def turns_as_events(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> events: every row is a whole message."""
     return turns.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
+def rejected(events: DataFrame) -> DataFrame:
+    """The events that format_events() passes over: those of an unknown or null kind."""
+    return events.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
+
+
+_STEPS = 8  # sequence numbers of a turn
+
+
+def turns_as_log(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) -> the event log of a chat service in which those turns come about.
+
+    By a hash of its place a turn is streamed (a start and deltas), or drafted, streamed on and
+    corrected by an edit, or answered wrongly and regenerated in deltas, or deleted and begun
+    anew.  Only folding the log gives the turns back.  Rows that share a conversation and turn,
+    and those without either, are messages of their own.
+    """
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    shared = written(rows.groupBy("conv_id", "turn").count().where("count > 1 and conv_id is not null and turn is not null").select("conv_id", "turn", F.lit(True).alias("_shared")), "sharedturns")
+    rows = rows.join(shared, ["conv_id", "turn"], "left")
+    text, third = F.col("text"), F.ceil(F.length("text") / 3).cast("int")
+    piece = lambda k: F.substring(text, F.lit(1) + k * third, third)
+    wrong = F.concat(F.lit("<|draft|> "), F.reverse(F.substring(text, 1, 12)))
+    role, none = F.col("role"), F.lit(None).cast("string")
+
+    def log(*steps) -> Column:
+        return F.array(
+            *[F.struct((F.col("turn") * _STEPS + k).alias("seq"), F.lit(kind).alias("kind"), who.alias("role"), said.alias("text")) for k, (kind, who, said) in enumerate(steps)]
+        )
+
+    deltas = [("delta", none, piece(1)), ("delta", none, piece(2))]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = (
+        F.when(F.col("_shared") | F.col("conv_id").isNull() | F.col("turn").isNull(), log(("message", role, text)))
+        .when(way == 0, log(("start", role, piece(0)), *deltas))
+        .when(way == 1, log(("start", role, wrong), ("delta", none, F.lit(" and more")), ("edit", none, text)))
+        .when(way == 2, log(("start", role, wrong), ("regenerate", role, piece(0)), *deltas))
+        .otherwise(log(("start", role, wrong), ("delete", none, none), ("start", role, piece(0)), *deltas))
+    )
+    return rows.select("conv_id", "turn", F.inline(events)).select("conv_id", "turn", "seq", "kind", "role", "text")
