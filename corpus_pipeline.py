@@ -17,8 +17,9 @@ from plumbline.llm.session import shared_path, table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised with some confidence."""
     net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = language_id.identify(docs, net, docs.columns)
-    return found.where(language_id.confident(found)).select(*docs.columns)
+    names = tuple("_" * (1 + max(len(c) for c in docs.columns)) + n for n in ("language", "score"))  # of no column of docs
+    found = language_id.identify(docs, net, docs.columns, names)
+    return found.where(language_id.confident(found, names=names)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
