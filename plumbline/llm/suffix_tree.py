@@ -42,12 +42,12 @@ from plumbline.llm import textscan as ts
 from plumbline.llm.session import Scratch, ship, written
 
 TOP = 1 << 17
-HOT = 1 << 17
+HOT = 1 << 22
 GAIN = 10.83  # chi square of one degree of freedom, exceeded by chance once in a thousand
 END = np.uint64(0x454E44)
 _FLUSH = 1 << 21
 _SLOTS = 20  # log2 of the 64-bit slots of a filter
-_GRID = float(1 << 30)  # weights are whole multiples of its inverse, so sums do not depend on the order
+_GRID = float(1 << 26)  # weights are whole multiples of its inverse, so sums do not depend on the order
 
 
 @dataclass
@@ -133,7 +133,7 @@ def _root(texts: DataFrame) -> tuple[Tree, DataFrame]:
     ship(texts.sparkSession)
     vocabulary = written(_counts(texts, lambda part: _tokens(part)[0]), "vocabulary")
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    top, counts = _arrays(vocabulary.orderBy(F.desc("n"), "thing").limit(TOP))
+    top, counts = _most(vocabulary, TOP, "thing", "n")
     hashes = top.view(np.uint64)
     order = np.argsort(hashes)
     return Tree(total or 0, distinct or 0, hashes[order], counts[order].astype(np.int64), []), vocabulary
@@ -212,17 +212,17 @@ def _retain(tree: Tree, d: int, codes: np.ndarray, n: np.ndarray, gamma_min: flo
 
 @dataclass
 class Runs:
-    """The weights of runs of up to `longest` words: a table (thing, n, weight) of all, and what is sent of it."""
+    """The weights of runs of up to `longest` words, in units of 1 / _GRID: a table (thing, n, units) of all, and what is sent of it."""
 
     table: DataFrame | None
     longest: int
     hashes: np.ndarray  # of the most frequent, sorted
-    weights: np.ndarray
+    units: np.ndarray
     contexts: np.ndarray  # bits of the retained contexts
     pairs: np.ndarray  # bits of the stored pairs, each a context and a word
 
     def sent(self) -> Runs:
-        return Runs(None, self.longest, self.hashes, self.weights, self.contexts, self.pairs)
+        return Runs(None, self.longest, self.hashes, self.units, self.contexts, self.pairs)
 
     def weigh(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each document's weight of frequent runs, the other runs that may have one, and how many those are."""
@@ -238,7 +238,7 @@ class Runs:
             at = _find(self.hashes, gram[some])
             hot = at >= 0
             if hot.any():
-                sums += np.bincount(doc[some[hot]], weights=self.weights[at[hot]], minlength=len(sums))
+                sums += np.bincount(doc[some[hot]], weights=self.units[at[hot]] / _GRID, minlength=len(sums))
             things.append(gram[some[~hot]])
             docs.append(doc[some[~hot]])
         thing, of = np.concatenate(things), np.concatenate(docs)
@@ -261,17 +261,37 @@ def _grams(h: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple[np.
         yield gram, whole
 
 
+_BITS = (0, 6, 12)  # below the bits that choose the slot, where the numbers of a thing's bits in its slot stand
+
+
 def _filter(things: DataFrame) -> np.ndarray:
-    """A bit set for each thing; of fixed size, so others may share one."""
+    """Three bits of one slot set for each thing; of fixed size, so others may pass too."""
     slots = things.groupBy(F.expr(f"shiftrightunsigned(thing, {64 - _SLOTS})").alias("slot"))
-    slot, bits = _arrays(slots.agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(thing, {58 - _SLOTS}) & 63 as int)))").alias("bits")))
+    bit = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(thing, {58 - _SLOTS - k}) & 63 as int))" for k in _BITS)
+    slot, bits = _arrays(slots.agg(F.expr(f"bit_or({bit})").alias("bits")))
     out = np.zeros(1 << _SLOTS, dtype=np.uint64)
     out[slot] = bits.view(np.uint64)
     return out
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)] >> ((h >> np.uint64(58 - _SLOTS)) & np.uint64(63))) & np.uint64(1) > 0
+    own = bits[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+    out = np.ones(len(h), dtype=bool)
+    for k in _BITS:
+        out &= (own >> ((h >> np.uint64(58 - _SLOTS - k)) & np.uint64(63))) & np.uint64(1) > 0
+    return out
+
+
+def _most(counted: DataFrame, most: int, *columns: str) -> list[np.ndarray]:
+    """Columns of the rows of greatest n: as many as a bound on n leaves at `most`.  No task and no driver sorts them."""
+    step = F.floor(F.log2("n") * 16)
+    left, bound = most, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        bound = r["step"]
+    return _arrays(counted.where(step >= F.lit(bound)).select(*columns) if bound is not None else counted.where("false").select(*columns))
 
 
 def _runs(part: ts.Slice, length: int, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,12 +382,12 @@ def grow(
         pair = now.where("weight is not null").select("thing", "n", "weight")
         contexts = context if contexts is None else contexts.unionByName(context)
         pairs_of = pair if pairs_of is None else pairs_of.unionByName(pair)
-    weights = contexts.unionByName(pairs_of).groupBy("thing").agg(F.max("n").alias("n"), (F.sum(F.round(F.col("weight") * _GRID)) / F.lit(_GRID)).alias("weight"))
+    weights = contexts.unionByName(pairs_of).groupBy("thing").agg(F.max("n").alias("n"), F.sum(F.round(F.col("weight") * _GRID)).cast("int").alias("units"))
     weights = written(weights, "weights")
-    hot, _, weight = _arrays(weights.orderBy(F.desc("n"), "thing").limit(HOT))
+    hot, units = _most(weights, HOT, "thing", "units")
     hashes = hot.view(np.uint64)
     order = np.argsort(hashes)
-    runs = Runs(weights, depth + 1, hashes[order], weight[order].astype(np.float64), _filter(contexts), _filter(pairs_of))
+    runs = Runs(weights, depth + 1, hashes[order], units[order].astype(np.int32), _filter(contexts), _filter(pairs_of))
     scratch.release()
     return tree, vocabulary, runs
 
@@ -475,7 +495,7 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, carried: list[str]
     more = F.coalesce("_more", F.lit(0.0))
     joined, below = first.drop("_away", "_deep").join(sums, "_row", "left"), F.lit(0.0)
     if runs is not None:
-        deep = first.select("_row", F.explode("_deep").alias("thing")).join(runs.table.select("thing", "weight"), "thing")
+        deep = first.select("_row", F.explode("_deep").alias("thing")).join(runs.table.select("thing", (F.col("units") / F.lit(_GRID)).alias("weight")), "thing")
         deep = written(deep.groupBy("_row").agg(F.sum("weight").alias("_below")), "deepsums")
         joined = joined.join(deep, "_row", "left")
         below = F.coalesce("_below", F.lit(0.0))
