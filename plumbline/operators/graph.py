@@ -12,32 +12,73 @@ from pyspark.sql import functions as F
 from plumbline.shared import written
 
 
-def reach(roots: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """roots (node), edges (src, dst) -> (node, level): all that can be reached, and in how few steps.  Cycles are fine."""
-    frontier = written(roots.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "reach")
-    seen = frontier
-    for level in range(1, most + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "reach")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if level % 16 == 0:
-            seen = written(seen, "reached")
-    raise RuntimeError("reach did not end")
+def _nearest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.min("level").alias("level"))
+
 
+def _jumps(along: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ... where one comes from a node by 2^k links of a chain; each node has one next node at most."""
+    now = written(along.groupBy("src").agg(F.min("dst").alias("dst")).where("src <> dst"), "jumps")
+    out, most = [], now.count()
+    while 1 << len(out) <= 2 * most:  # on a ring the jumps never run out
+        out.append(now)
+        now = written(now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")), "jumps")
+        if now.isEmpty():
+            break
+    return out
 
-def named(roots: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+
+def _along(rows: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """rows (node, level) and all that the chains behind them hold: a logarithm of joins in place of one a link."""
+    for k, jump in reversed(list(enumerate(jumps))):
+        jumped = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), (F.col("level") + (1 << k)).alias("level")))
+        both = rows.join(jump, F.col("node") == F.col("src"), "left").select(F.inline(F.array_compact(F.array(F.struct("node", "level"), jumped))))
+        rows = _nearest(both)
+        if k % 6 == 0:
+            rows = written(rows, "along")
+    return rows
+
+
+def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, shallow: int = 16) -> DataFrame:
+    """roots (node), edges (src, dst) -> (node, level): all that can be reached, and in how few steps.  Cycles are fine.
+
+    The first `shallow` levels are walked one by one.  What lies deeper is reached through
+    chains: of every node one link (of `along`, if given, as the first parents of a history) is
+    doubled until the chains end, so a round passes a whole chain, and the number of rounds is
+    that of the changes from chain to chain on a way, whatever the depth.
+    """
+    frontier = written(roots.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "reach")
+    seen, jumps, level = frontier, None, 0
+    while not frontier.isEmpty():
+        level += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
+        if level < shallow:
+            frontier = written(_nearest(step).join(seen.select("node"), "node", "left_anti"), "reach")
+            seen = seen.unionByName(frontier)
+            continue
+        if jumps is None:
+            links = written((along if along is not None else edges).select("src", "dst").where("dst is not null"), "chains")
+            jumps, seen = _jumps(links), written(seen, "reached")
+        found = _along(written(_nearest(step), "reach"), jumps)
+        before = seen.select("node", F.col("level").alias("_before"))
+        frontier = written(found.join(before, "node", "left").where("_before is null or level < _before").select("node", "level"), "reach")
+        seen = written(_nearest(seen.unionByName(frontier)), "reached")
+    return seen
+
+
+def named(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """roots (node, name), edges (src, dst, ord, step) -> (node, level, name): how each reached node can be called.
 
     A name is that of the node it was reached from with the step put behind it; a first
     parent's step "^" after "~n" or "^" counts on ("~2").  Of several ways the shortest
-    counts, then the least name and ord, so names do not depend on the order of work.
+    counts, then the least name and ord, so names do not depend on the order of work.  A name
+    is made of that of the level before, so there is a round a level.
     """
     first = roots.groupBy("node").agg(F.min("name").alias("name")).withColumn("level", F.lit(0).cast("long"))
     frontier = written(first.select("node", "level", "name"), "named")
-    seen = frontier
-    for level in range(1, most + 1):
+    seen, level = frontier, 0
+    while not frontier.isEmpty():
+        level += 1
         ways = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct("name", "ord", "step").alias("_w"))
         best = ways.groupBy("node").agg(F.min("_w").alias("_w")).join(seen.select("node"), "node", "left_anti")
         name, step = F.col("_w.name"), F.col("_w.step")
@@ -48,12 +89,10 @@ def named(roots: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
             .otherwise(F.concat(name, step))
         )
         frontier = written(best.select("node", F.lit(level).cast("long").alias("level"), counted.alias("name")), "named")
-        if frontier.isEmpty():
-            return seen
         seen = seen.unionByName(frontier)
         if level % 16 == 0:
             seen = written(seen, "named")
-    raise RuntimeError("naming did not end")
+    return seen
 
 
 def verdicts(nodes: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,26 +111,27 @@ def verdicts(nodes: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFram
     return all_.select("node", verdict.alias("verdict")).where("verdict is not null")
 
 
-def routes(damaged: DataFrame, edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
+def routes(damaged: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) -> (node, root, route): the ways from roots to damaged nodes, found backwards from the damage.
 
     Of several links into a node that from the source nearest to a root is taken, then the
     least, so each damaged node that can be reached has a route; one without a way from a
-    root has no row.
+    root has no row.  A round goes one step nearer to the roots, as a route has that many steps.
     """
-    near = reach(roots, edges, most).select(F.col("node").alias("src"), "level")
+    near = reach(roots, edges).select(F.col("node").alias("src"), "level")
     up = edges.join(near, "src").groupBy(F.col("dst").alias("at")).agg(F.min(F.struct("level", "src")).alias("up")).select("at", F.col("up.src").alias("up"))
     walk = damaged.select("node", F.col("node").alias("at"), F.array("node").alias("route"))
-    out = None
-    for _ in range(most):
-        walk = written(walk, "routes")
-        if walk.isEmpty():
-            return out
+    out, rounds = None, 0
+    while True:
+        walk, rounds = written(walk, "routes"), rounds + 1
         done = walk.join(roots.select(F.col("node").alias("at")), "at", "left_semi")
         done = done.select("node", F.col("at").alias("root"), F.array_join(F.reverse("route"), "/").alias("route"))
         out = done if out is None else out.unionByName(done)
+        if rounds % 16 == 0:
+            out = written(out, "routed")
+        if walk.isEmpty():
+            return out
         walk = walk.join(up, "at").where(~F.array_contains("route", F.col("up"))).select("node", F.col("up").alias("at"), F.concat("route", F.array("up")).alias("route"))
-    return out
 
 
 def chain_roots(links: DataFrame, most: int = 64) -> DataFrame:
@@ -122,18 +162,28 @@ def chase(pointers: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return out
 
 
-def flatten(entries: DataFrame, root: DataFrame, depth: int = 100) -> DataFrame:
-    """entries (tree, name, child, is_tree), root (tree) -> (root, path, child): every path below, level by level."""
-    at = root.select(F.col("tree").alias("root"), "tree", F.lit("").alias("prefix"))
-    out = None
-    for _ in range(depth):
-        below = written(at.join(entries, "tree").select("root", F.concat("prefix", "name").alias("path"), "child", "is_tree"), "flatten")
-        if below.isEmpty():
-            break
-        leaves = below.where("not is_tree").select("root", "path", "child")
+def flatten(entries: DataFrame, root: DataFrame) -> DataFrame:
+    """entries (tree, name, child, is_tree, more columns), root (tree) -> (root, path, child, more): every path below, level by level.
+
+    Ends when no tree is left, however deep; a tree that holds itself is an error.
+    """
+    more = [c for c in entries.columns if c not in ("tree", "name", "child", "is_tree")]
+    at = root.select(F.col("tree").alias("root"), "tree", F.lit("").alias("prefix"), F.array("tree").alias("_above"))
+    out, level = None, 0
+    while True:
+        level += 1
+        below = at.join(entries, "tree").select("root", F.concat("prefix", "name").alias("path"), "child", "is_tree", "_above", *more)
+        below = written(below, "flatten")
+        leaves = below.where("not is_tree").select("root", "path", "child", *more)
         out = leaves if out is None else out.unionByName(leaves)
-        at = below.where("is_tree").select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
-    return out
+        if level % 16 == 0:
+            out = written(out, "flattened")
+        trees = below.where("is_tree")
+        if trees.isEmpty():
+            return out
+        if not trees.where(F.array_contains("_above", F.col("child"))).isEmpty():
+            raise ValueError("a tree holds itself")
+        at = trees.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"), F.array_append("_above", F.col("child")).alias("_above"))
 
 
 def fold_up(leaves: DataFrame, levels: list[tuple[str, str]], digest) -> list[DataFrame]:

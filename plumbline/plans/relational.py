@@ -589,6 +589,17 @@ def chain_root_depth(t):
     return graph.chain_roots(t("customer").select(k.alias("node"), F.when(k >= 3, F.floor(k / 3).cast("long")).alias("base")))
 
 
+@query("""
+SELECT o_orderkey AS node, row_number() OVER (ORDER BY o_orderkey)::BIGINT - 1 AS level FROM orders
+""")
+def deep_chain_reach(t):
+    """All orders, each linked to the next: as deep as there are orders, and reached by doubling."""
+    at = links.positions(t("orders").select(F.col("o_orderkey").alias("node")), ["node"], "at")
+    at = written(at, "chain")
+    edges = at.join(at.select((F.col("at") - 1).alias("at"), F.col("node").alias("dst")), "at").select(F.col("node").alias("src"), "dst")
+    return graph.reach(at.where("at = 0").select("node"), edges)
+
+
 @query("""
 SELECT 'region:' || r_regionkey AS root, n_name || '/' || c_name AS path, c_custkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
 """)
@@ -626,12 +637,15 @@ def location_lookup(t):
 
 
 @query("""
-SELECT conv_id, turn, role FROM (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations)
+WITH t AS (SELECT conv_id, turn, CASE (conv_id + 3 * turn) % 5 WHEN 0 THEN 'system' WHEN 1 THEN 'assistant' ELSE role END AS role FROM conversations)
+SELECT conv_id, turn, role FROM (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM t)
 WHERE (role = 'assistant' AND b NOT IN ('user')) OR (role = 'system' AND b <> '') OR (role = 'user' AND b NOT IN ('', 'system', 'assistant'))
 """)
 def line_context_rule(t):
-    """Lines that may not follow the one before."""
-    turns = t("conversations").select("conv_id", "turn", "role")
+    """Lines that may not follow the one before; roles are broken so that some do."""
+    at = (F.col("conv_id") + 3 * F.col("turn")) % 5
+    role = F.when(at == 0, F.lit("system")).when(at == 1, F.lit("assistant")).otherwise(F.col("role"))
+    turns = t("conversations").select("conv_id", "turn", role.alias("role"))
     return ordered.line_context(turns, "role", "conv_id", "turn", {"assistant": ("user",), "system": ("",), "user": ("", "system", "assistant")})
 
 

@@ -356,7 +356,7 @@ def connectivity(best: DataFrame, edges: DataFrame, root_rows: DataFrame, option
     good = edges.where("dst is not null").join(best.select(F.col("oid").alias("dst"), F.col("typ").alias("_t")), "dst", "left")
     wrong = good.where("implied is not null and _t is not null and implied <> _t").select(F.lower(F.hex("src")).alias("oid"), F.lower(F.hex("dst")).alias("dst"), "implied")
     resolved = written(good.where("_t is null or implied is null or implied = _t").select("src", "dst", "implied"), "resolved")
-    reached = graph.reach(root_rows.select(F.col("oid").alias("node")), resolved)
+    reached = graph.reach(root_rows.select(F.col("oid").alias("node")), resolved, resolved.where("implied = 'commit'"))
     known = best.select(F.col("oid").alias("node"), "typ", F.lit(True).alias("present"))
     absent = resolved.select(F.col("dst").alias("node"), F.col("implied").alias("typ")).unionByName(root_rows.select(F.col("oid").alias("node"), "typ"))
     absent = absent.groupBy("node").agg(F.min("typ").alias("typ")).join(known.select("node"), "node", "left_anti").withColumn("present", F.lit(False))

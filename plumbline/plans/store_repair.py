@@ -12,9 +12,11 @@ import json
 import os
 import shutil
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from plumbline import model
 from plumbline.functions import checks
 from plumbline.operators import graph, links
 from plumbline.plans import store_check
+from plumbline.shared import written
 from plumbline.sources import codecs, store
 
 # The order in which sources of a lost object are tried.
@@ -243,6 +246,32 @@ def peeled_tags(best: DataFrame, hops: int = 10) -> dict[bytes, bytes]:
     return {bytes(r["name"]): bytes(r["last"]) for r in graph.chase(tags, tags.select("name"), hops).toLocalIterator()}
 
 
+_ENTRIES = [("tree", pa.binary()), ("name", pa.string()), ("child", pa.binary()), ("mode", pa.int64()), ("is_tree", pa.bool_())]
+
+
+def _entries(batches: Iterator[pa.RecordBatch], hash_size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for oid, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, mode, name, child in codecs.parse_tree(body, hash_size)[0]:
+                rows.append((oid, name.decode("latin-1"), child, mode, mode & 0o170000 == 0o040000))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 5, _ENTRIES)], names=[n for n, _ in _ENTRIES])
+
+
+def head_entries(spark: SparkSession, git_dir: str, best: DataFrame, hash_size: int = 20) -> list[tuple[bytes, int, bytes, int]]:
+    """(path, mode, oid, stage 0) of every file in the commit that HEAD names; none without a readable one."""
+    head = store.resolve_ref(git_dir, "HEAD", hash_size)
+    row = best.where((F.col("oid") == F.lit(bytearray(head))) & (F.col("typ") == "commit")).select("body").first() if head else None
+    tree = codecs.commit_links(bytes(row[0]), hash_size)[0] if row and row[0] is not None else None
+    if tree is None:
+        return []
+    trees = best.where("typ = 'tree' and body is not null").select("oid", "body")
+    entries = trees.mapInArrow(lambda b: _entries(b, hash_size), "tree binary, name string, child binary, mode long, is_tree boolean")
+    root = spark.createDataFrame([(bytearray(tree),)], "tree binary")
+    found = graph.flatten(written(entries, "treeentries"), root)
+    return [(r["path"].encode("latin-1"), r["mode"], bytes(r["child"]), 0) for r in found.toLocalIterator()]
+
+
 def repair(spark: SparkSession, path: str, remote: str | None = None, passes: int = 50) -> Result:
     """Rebuilds what can be proven, until a pass recovers nothing; then checks the store again."""
     git_dir = store.discover(path)
@@ -296,8 +325,13 @@ def repair(spark: SparkSession, path: str, remote: str | None = None, passes: in
     entries, _, fault = store.index_entries(git_dir, n)
     if fault:
         salvaged = store.index_entries(git_dir, n, salvage=True)[0]
+        entries = [e[:4] for e in salvaged]
+        have = {e[0] for e in entries}
+        entries += [e for e in head_entries(spark, git_dir, best, n) if e[0] not in have]
         q.move(os.path.join(git_dir, "index"), fault)
-        Path(git_dir, "index").write_bytes(codecs.encode_index([e[:4] for e in salvaged], n))
+        temp = Path(git_dir, "index.new")
+        temp.write_bytes(codecs.encode_index(entries, n))
+        os.replace(temp, Path(git_dir, "index"))
     result.run = q.run if q.moved else None
     result.clean = store_check.status(store_check.check(spark, path)) == 0
     return result

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import model
-from plumbline.functions import checks, content
+from plumbline.functions import checks, content, names
 from plumbline.shared import ship
 from plumbline.sources import codecs
 
@@ -131,18 +131,24 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.alias("text")).mapInArrow(_configs, "event_id long, key string, value string, line long, broken boolean")
 
 
-def _ladders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page_id, url in zip(*(c.to_pylist() for c in batch.columns)):
-            rows.append((page_id, checks.submodule_url_ok(url or ""), checks.refname_ok("refs/" + (url or ""))))
-        yield _batch(rows, [("page_id", pa.int64()), ("url_ok", pa.bool_()), ("name_ok", pa.bool_())])
+        ok = [checks.submodule_url_ok(url or "") for url in batch.column("made").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(ok, pa.bool_())], names=["page_id", "url", "url_ok"])
 
 
 def submodule_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls by the rules for submodules and for ref names."""
+    """Urls as they are, for the helpers, relative, and escaping upwards, by the rule for submodules; ref names by theirs."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").mapInArrow(_ladders, "page_id long, url_ok boolean, name_ok boolean")
+    way, url = F.col("page_id") % 9, F.coalesce("url", F.lit(""))
+    made = (
+        F.when(way == 1, F.concat(F.lit("..//"), url)).when(way == 2, F.concat(F.lit("../foo/:"), url)).when(way == 3, F.concat(F.lit("http::"), url))
+        .when(way == 4, F.lit("ftps::no host")).when(way == 5, F.concat(F.lit("./%0a"), url)).when(way == 6, F.concat(F.lit(".././/"), url))
+        .when(way == 7, F.concat(F.lit("../"), url)).when(way == 8, F.concat(F.lit("./:"), url)).otherwise(url)
+    )
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", made.alias("made"))
+    judged = pages.mapInArrow(_urls, "page_id long, url string, url_ok boolean")
+    return judged.select("page_id", "url_ok", names.refname_ok(F.concat(F.lit("refs/"), F.coalesce("url", F.lit("")))).alias("name_ok"))
 
 
 def trailer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +179,7 @@ SELECT event_id, 'user.' || user_id || '.event' AS key, event_type AS value, 2::
 UNION ALL SELECT event_id, 'user.' || user_id || '.bare', NULL, 3::BIGINT, false FROM events
 """,
     "submodule_rules": r"""
-SELECT page_id, regexp_matches(url, '^[a-z]+://[^/?#]') AS url_ok,
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN regexp_matches(url, '^[a-z]+://[^/?#]') WHEN 3 THEN regexp_matches(url, '^[a-z]+://[^/?#]') WHEN 2 THEN true WHEN 7 THEN true WHEN 8 THEN true ELSE false END AS url_ok,
   NOT regexp_matches('refs/' || url, '[\x00-\x20\x7F~^:?\[\\*]') AND NOT contains(url, '..') AND NOT contains(url, '//') AND NOT ends_with(url, '/') AND NOT ends_with(url, '.') AS name_ok FROM pages
 """,
     "trailer_check": "SELECT doc_id, doc_id % 7 <> 0 OR text = reverse(text) AS holds FROM documents",

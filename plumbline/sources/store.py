@@ -189,7 +189,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(out, pa.binary())], names=[batch.schema.names[i] for i in keep] + ["body"])
 
 
-def packed(index: DataFrame, hash_size: int = 20, depth: int = 4096) -> DataFrame:
+def packed(index: DataFrame, hash_size: int = 20) -> DataFrame:
     """Packed objects with their deltas applied, level by level from the full entries; each hashed against its name.
 
     A base is an entry of the same pack, by offset or by name.  What never meets a base,
@@ -203,7 +203,7 @@ def packed(index: DataFrame, hash_size: int = 20, depth: int = 4096) -> DataFram
     delta = written(delta.where("base_off is not null").select("pack", "off", "oid", "data", "base_off").unionByName(by_name), "deltas")
     done = entries.where(F.col("error").isNull() & F.col("kind").isin(*codecs.REAL_TYPES)).select("pack", "off", "oid", F.col("kind").alias("typ"), F.col("data").alias("body"))
     level, all_ = done, done
-    for _ in range(depth):
+    while True:  # a level is of entries not met before, so this ends
         ready = delta.join(level.select("pack", F.col("off").alias("base_off"), "typ", F.col("body").alias("base_body")), ["pack", "base_off"])
         ready = ready.where("base_body is not null").select("pack", "off", "oid", "typ", "base_body", "data")
         level = written(ready.mapInArrow(_apply, "pack string, off long, oid binary, typ string, body binary"), "level")

@@ -69,6 +69,19 @@ def test_corrupt_blob_is_recovered_and_undone(spark, repo):
     assert store_repair.undo(str(repo / ".git"), result.run) == []
 
 
+def test_a_torn_index_loses_no_path(spark, repo):
+    path = repo / ".git/index"
+    (repo / "b.txt").write_text("staged only")
+    git(repo, "add", "b.txt")
+    whole = codecs.parse_index(path.read_bytes())[0]
+    data = path.read_bytes()
+    cut = data.index(b"src/deep/c.txt") - 62
+    path.write_bytes(data[:cut] + b"\xff" * 40)
+    store_repair.repair(spark, str(repo))
+    entries, _, fault = codecs.parse_index(path.read_bytes())
+    assert not fault and [e[0] for e in entries] == [b"a.txt", b"b.txt", b"src/deep/c.txt"] and [e[1:3] for e in entries] == [e[1:3] for e in whole]
+
+
 def test_lost_trees_are_rebuilt_from_the_index(spark, repo):
     for oid in git(repo, "rev-parse", "HEAD^{tree}", "HEAD:src", "HEAD:src/deep").decode().split():
         os.remove(repo / ".git/objects" / oid[:2] / oid[2:])
