@@ -48,20 +48,23 @@ def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, sh
     that of the changes from chain to chain on a way, whatever the depth.
     """
     frontier = written(roots.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "reach")
-    seen, jumps, level = frontier, None, 0
+    seen, jumps, level, left = frontier, None, 0, edges
     while not frontier.isEmpty():
         level += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
+        step = frontier.join(left, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
         if level < shallow:
             frontier = written(_nearest(step).join(seen.select("node"), "node", "left_anti"), "reach")
             seen = seen.unionByName(frontier)
             continue
+        better = "_before is null or level < _before"
         if jumps is None:
             links = written((along if along is not None else edges).select("src", "dst").where("dst is not null"), "chains")
-            jumps, seen = _jumps(links), written(seen, "reached")
+            jumps, seen, step = _jumps(links), written(seen, "reached"), frontier
+            left = written(edges.join(jumps[0], ["src", "dst"], "left_anti"), "crossings") if jumps else edges  # chains are passed whole
+            better = "_before is null or level <= _before"  # what has been reached last has not been left yet
         found = _along(written(_nearest(step), "reach"), jumps)
         before = seen.select("node", F.col("level").alias("_before"))
-        frontier = written(found.join(before, "node", "left").where("_before is null or level < _before").select("node", "level"), "reach")
+        frontier = written(found.join(before, "node", "left").where(better).select("node", "level"), "reach")
         seen = written(_nearest(seen.unionByName(frontier)), "reached")
     return seen
 
