@@ -262,7 +262,7 @@ def write_token_files(
     records = ordered.mapInArrow(lambda b: _shards(b, tokenizer, end_id, dictionary, level), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
     files = spark.read.format("binaryFile").load(f"{path}/shards").where("length > 0").select("path", "content")
-    files.mapInArrow(lambda b: _manifest(b, dictionary), _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    files.mapInArrow(lambda b: _manifest(b, dictionary), _MANIFEST).write.parquet(f"{path}/manifest")
 
 
 class Shard:
