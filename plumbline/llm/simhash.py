@@ -250,14 +250,15 @@ def links(distinct: DataFrame, short: int = 512, split: int = 1 << 17) -> DataFr
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> one row (doc_id, fp, component_id, text_hash) per row of docs.
+    """(doc_id, text, ...) -> one row (doc_id, fp, component_id, root, text_hash) per row of docs.
 
     Texts: A-Z lower-cased, words, 3-word shingles with repeats (fewer words: the whole
     sequence), XXH64 with seed 42; a bit is set if it is set in over half the hashes.  A
     null, empty or wordless text has fingerprint 0, linked like any other.  component_id
     is the least doc_id reachable over links of three bits or fewer; exact copies share a
     fingerprint and so a component.  Repeated rows stay; a null doc_id is kept and never
-    the least unless the component has no other.  Other columns are not looked at.
+    the least unless the component has no other.  root is a fingerprint of the component, and
+    tells components apart where ids are null or repeated.  Other columns are not looked at.
     """
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -267,8 +268,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     rooted = written(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id", "text_hash")
+    by_fp = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -279,17 +280,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the least doc_id (null last).
 
     Of unlike texts with that doc_id the one that hashes lowest stays; of rows with the same
-    doc_id and text, one.  A component is told by its least doc_id; documents without any
-    doc_id form one component for each fingerprint.
+    doc_id and text, one.  Components are told apart by their fingerprints, not by ids, so
+    unlike documents that share a doc_id both stay, and so does one of each group without ids.
     """
+    null, number, text = ("_" * (1 + max(len(c) for c in docs.columns)) + n for n in ("null", "id", "text"))  # of no column of docs
     found = near_duplicates(docs)
-    null = F.col("doc_id").isNull()
-    first = F.min(F.struct(null.alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text")))
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keep = found.groupBy("component_id", alone.alias("_alone")).agg(first.alias("_k")).select("_k.*")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(number), F.col("text_hash").alias(text)))
+    keep = found.groupBy("root").agg(least.alias("k")).select("k.*")
     marked = docs.withColumns(
-        {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text": F.xxhash64(F.col("text").cast("string"))}
+        {null: F.col("doc_id").isNull(), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), text: F.xxhash64(F.col("text").cast("string"))}
     )
-    kept = marked.join(keep, ["_null", "_id", "_text"], "left_semi")
+    kept = marked.join(keep, [null, number, text], "left_semi")
     row = F.first(F.struct(*[F.col(c) for c in docs.columns]))
-    return kept.groupBy("_null", "_id", "_text").agg(row.alias("_row")).select("_row.*")
+    return kept.groupBy(null, number, text).agg(row.alias("row")).select("row.*")

@@ -112,6 +112,21 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, text), (7, "other words are here today"), (None, "alone 1 2"), (5, None)], key=str)
 
 
+def test_deduplicate_tells_groups_apart_by_their_texts(spark):
+    """Repeated and missing ids, and columns named as the operator's own might be."""
+    words = [f"w{i}" for i in range(400)]
+    near = " ".join(["other", *words[1:]])
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(400))
+    prints = [r["fp"] & (1 << 64) - 1 for r in simhash.near_duplicates(spark.createDataFrame([(1, a), (2, near)], "doc_id long, text string")).collect()]
+    assert prints[0] != prints[1] and bin(prints[0] ^ prints[1]).count("1") <= 3
+    rows = [(1, a, 0, "x", "y"), (1, b, 0, "x", "y"), (2, near, 0, "x", "y"), (3, b, 0, "x", "y")]
+    schema = "doc_id long, text string, _null int, _id string, root string"
+    kept = simhash.deduplicate(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "_null", "_id", "root"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b)])
+    assert simhash.deduplicate(spark.createDataFrame([(None, t, *r) for _, t, *r in rows], schema)).count() == 2
+
+
 def test_chain_of_links(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).union(spark.createDataFrame([(1000, 1001), (5, 5), (None, 3)], "u long, v long"))
