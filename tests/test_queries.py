@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph, links, ordered, report, sets
-from plumbline.plans import relational, stores
+from plumbline.plans import formats, relational, stores
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = relational.queries() | stores.queries(), relational.oracle_sql() | stores.oracle_sql()
+QUERIES, SQL = relational.queries() | stores.queries() | formats.queries(), relational.oracle_sql() | stores.oracle_sql() | formats.oracle_sql()
 
 
 @pytest.fixture(scope="module")
