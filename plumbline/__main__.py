@@ -18,7 +18,8 @@ from plumbline.sources import store
 
 FLAGS = {
     "strict": "treat warnings as errors", "full": "look into packs too", "connectivity_only": "only follow links", "unreachable": "name what no root reaches",
-    "dangling": "name what nothing links to", "reflogs": "histories are roots", "references": "check the refs themselves", "name_objects": "say how objects can be called",
+    "dangling": "name what nothing links to", "reflogs": "histories are roots", "references": "check the refs themselves", "tags": "name what tags point to", "root": "name commits without a parent", "cache": "the index holds roots (it always does)",
+    "name_objects": "say how objects can be called",
 }
 
 

@@ -381,6 +381,27 @@ def connectivity(best: DataFrame, edges: DataFrame, root_rows: DataFrame, option
     return verdict.unionByName(broken)
 
 
+def selected(best: DataFrame, edges: DataFrame, options: model.Options) -> DataFrame:
+    """What the options ask to be listed, sound or not: commits without a parent, and what tags point to."""
+    kinds = best.select("oid", "typ")
+    parents = edges.where("implied = 'commit' and ord > 0").select(F.col("src").alias("oid"))
+    first = kinds.where("typ = 'commit'").join(parents, "oid", "left_anti").select(F.lower(F.hex("oid")).alias("oid")).where(F.lit(options.root))
+    out = _finding(first, 1, F.concat(F.lit("root "), F.col("oid")), F.lit(0), grp=F.lit(3), msg=F.lit("root"), severity=F.lit(model.INFO))
+    name = F.regexp_extract(F.col("body").cast("string"), "(?:^|\n)tag ([^\n]*)", 1)
+    tags = best.where("typ = 'tag'").where(F.lit(options.tags)).select(F.col("oid").alias("src"), name.alias("name"))
+    tags = tags.join(edges.where("dst is not null").select("src", "dst", "implied"), "src")
+    tags = tags.select(F.lower(F.hex("src")).alias("oid"), F.format_string("tagged %s %s (%s) in %s", "implied", F.lower(F.hex("dst")), "name", F.lower(F.hex("src"))).alias("text"))
+    return out.unionByName(_finding(tags, 1, F.col("text"), F.lit(0), grp=F.lit(3), msg=F.lit("tagged"), severity=F.lit(model.INFO)))
+
+
+def object_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(place, n): how many objects the packs index and how many loose files there are; no body is read."""
+    git_dir = store.discover(path)
+    dirs, n = store.object_dirs(git_dir), store.hash_size_of(git_dir)
+    packed = store.pack_index(spark, dirs, n).where("oid is not null").agg(F.count("*").alias("n")).select(F.lit("packed").alias("place"), "n")
+    return packed.unionByName(store.loose_files(spark, dirs, n).agg(F.count("*").alias("n")).select(F.lit("loose").alias("place"), "n"))
+
+
 def configured(git_dir: str, options: model.Options, hash_size: int = 20) -> model.Options:
     """Options with what the store's configuration says: severities of checks, a list of objects to skip, the size of big files.
 
@@ -424,6 +445,8 @@ def check(spark: SparkSession, path: str, options: model.Options | None = None)
         found = found.unionByName(object_findings(best, options, n))
         unread = edges.where("fault is not null").select(F.lower(F.hex("src")).alias("oid"), "fault")
         found = found.unionByName(_finding(unread, 1, F.concat(F.lit("error: "), F.col("oid"), F.lit(": object could not be parsed: "), F.col("fault")), F.lit(model.BIT_OBJECT), grp=F.lit(2)))
+    if options.root or options.tags:
+        found = found.unionByName(selected(best, edges, options))
     rows = [(p, "badPack", text, model.BIT_PACK) for p, text in store.pack_faults(store.object_dirs(git_dir), n)] if options.full else []
     rows += [(p, "looseCruft", "bad sha1 file", 0) for p in store.loose_cruft(store.object_dirs(git_dir), n)]
     found = found.unionByName(_rows(spark, rows, 1, options))

@@ -78,6 +78,22 @@ def damaged(spark: SparkSession, path: str, options: model.Options | None = None
     return lost.select("oid", F.coalesce("typ", "_typ").alias("typ"), F.col("files").isNotNull().alias("corrupt"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
+def needs(spark: SparkSession, path: str, options: model.Options | None = None) -> DataFrame:
+    """oid, wanted_by, name: who asks for each object without a good copy, each route's last step once.
+
+    wanted_by is a root (a ref, HEAD, a reflog, an index entry; name is null) or the name of an
+    object that links to it (name is the entry's, if it is a tree).
+    """
+    options = options or model.Options()
+    git_dir = store.discover(path)
+    n = store.hash_size_of(git_dir)
+    best = store_check.best_copies(store_check.objects(spark, git_dir, options))
+    asked = store_check.links(best, n).where("dst is not null").select(F.col("dst").alias("oid"), F.lower(F.hex("src")).alias("wanted_by"), F.col("name").cast("string").alias("name"))
+    roots = [(bytearray(o), name, None) for name, o, _ in store_check.roots(git_dir, options, n)]
+    asked = asked.unionByName(spark.createDataFrame(roots, "oid binary, wanted_by string, name string"))
+    return asked.join(best.select("oid"), "oid", "left_anti").distinct()
+
+
 def plan(spark: SparkSession, path: str, remote: str | None = None) -> DataFrame:
     """oid, typ, corrupt, files, and the chosen source (null where nothing proves itself): content hashes to the name, lowest rung first.
 

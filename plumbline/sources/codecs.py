@@ -6,6 +6,7 @@ Every decoder is total: it returns what could be read and says what could not.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -396,6 +397,18 @@ def parse_reflog(data: bytes, hash_size: int = 20) -> list[tuple[int, bytes, byt
     return out
 
 
+_C_ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+
+
+def unquote_c(text: str) -> str | None:
+    """The text within C-style quotes: letter escapes and three octal digits a byte; None if it is not quoted so."""
+    m = re.fullmatch(r'"((?:[^"\\]|\\(?:[abtnvfr"\\]|[0-3][0-7]{2}))*)"', text, re.S)
+    if not m:
+        return None
+    byte = lambda e: bytes([_C_ESCAPES[e[1].decode()] if e[1].decode() in _C_ESCAPES else int(e[1], 8)])
+    return os.fsdecode(re.sub(rb"\\([0-7]{3}|.)", byte, os.fsencode(m[1])))
+
+
 # --- configuration -----------------------------------------------------------------------
 
 _ESCAPES = {"n": "\n", "t": "\t", "b": "\b", '"': '"', "\\": "\\"}

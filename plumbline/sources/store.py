@@ -57,7 +57,7 @@ def object_dirs(git_dir: str, depth: int = 5) -> list[str]:
             return
         for line in lines:
             if line and not line.startswith("#"):
-                visit(os.path.join(path, line), level + 1)
+                visit(os.path.join(path, codecs.unquote_c(line) or line), level + 1)
 
     visit(os.path.join(git_dir, "objects"), 0)
     return seen
@@ -74,15 +74,19 @@ def _decode_loose(batches: Iterator[pa.RecordBatch], hash_size: int, big: int) -
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _SCHEMA)], schema=_SCHEMA)
 
 
-def loose(spark: SparkSession, dirs: list[str], hash_size: int = 20, big: int = 512 << 20) -> DataFrame:
-    """Loose objects, decoded and hashed: one row a file whose name is a whole object name."""
-    ship(spark)
+def loose_files(spark: SparkSession, dirs: list[str], hash_size: int = 20) -> DataFrame:
+    """(path, content) of the files whose names are whole object names; contents are read only where they are used."""
     files = [f"{d}/??/*" for d in dirs if any(len(x) == 2 and os.listdir(os.path.join(d, x)) for x in os.listdir(d) if os.path.isdir(os.path.join(d, x)))]
     if not files:
-        return spark.createDataFrame([], OBJECTS)
+        return spark.createDataFrame([], "path string, content binary")
     found = spark.read.format("binaryFile").load(files).select("path", "content")
-    found = found.where(F.col("path").rlike(f"/[0-9a-f]{{2}}/[0-9a-f]{{{2 * hash_size - 2}}}$"))
-    return found.mapInArrow(lambda b: _decode_loose(b, hash_size, big), OBJECTS)
+    return found.where(F.col("path").rlike(f"/[0-9a-f]{{2}}/[0-9a-f]{{{2 * hash_size - 2}}}$"))
+
+
+def loose(spark: SparkSession, dirs: list[str], hash_size: int = 20, big: int = 512 << 20) -> DataFrame:
+    """Loose objects, decoded and hashed: one row a file."""
+    ship(spark)
+    return loose_files(spark, dirs, hash_size).mapInArrow(lambda b: _decode_loose(b, hash_size, big), OBJECTS)
 
 
 def loose_cruft(dirs: list[str], hash_size: int = 20) -> list[str]:
@@ -374,3 +378,9 @@ def write_loose(objects_dir: str, kind: str, body: bytes, want: bytes) -> bytes:
         os.chmod(temp, 0o444)
         os.rename(temp, path)
     return name
+
+
+def remote_url(git_dir: str) -> str | None:
+    """The url of the remote called origin, else the least url of any; None without one."""
+    keyed = [(key, value) for _, key, value in config([os.path.join(git_dir, "config")]) if value and key.startswith("remote.") and key.endswith(".url")]
+    return dict(keyed).get("remote.origin.url") or min((value for _, value in keyed), default=None)

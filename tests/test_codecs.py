@@ -135,3 +135,8 @@ def test_severities():
     for bad in ({"nope": "warn"}, {"hasDot": "loud"}, {"nulInHeader": "warn"}):
         with pytest.raises(ValueError):
             model.severities(bad)
+
+
+def test_c_quotes():
+    cases = {'"a b"': "a b", r'"a\tb\"\\"': 'a\tb"\\', r'"\303\251"': "é", "plain": None, '"open': None, r'"\9"': None, '""': ""}
+    assert {k: codecs.unquote_c(k) for k in cases} == cases

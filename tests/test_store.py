@@ -45,6 +45,29 @@ def test_sound_store_loose_and_packed(spark, repo):
     assert {r[0].hex() for r in copies.where("not failed").select("oid").collect()} >= names
 
 
+def test_tags_roots_counts_and_needs(spark, repo):
+    git(repo, "tag", "-a", "-m", "x", "v9.1", "HEAD")
+    tag, head, tree, blob = (git(repo, "rev-parse", what).decode().strip() for what in ("v9.1", "HEAD", "HEAD^{tree}", "HEAD:a.txt"))
+    first = git(repo, "rev-list", "--max-parents=0", "--all").decode().split()
+    found = store_check.check(spark, str(repo), store_check.model.Options(tags=True, root=True)).where("msg_id in ('tagged', 'root')").collect()
+    assert {r["text"] for r in found if r["msg_id"] == "root"} == {f"root {c}" for c in first}
+    assert f"tagged commit {head} (v9.1) in {tag}" in {r["text"] for r in found}
+    loose = sum(1 for p in (repo / ".git/objects").glob("??/*") if p.is_file())
+    assert {r["place"]: r["n"] for r in store_check.object_counts(spark, str(repo)).collect()} == {"packed": 0, "loose": loose}
+    os.remove(repo / ".git/objects" / blob[:2] / blob[2:])
+    wanted = {(bytes(r["oid"]).hex(), r["wanted_by"], r["name"]) for r in store_repair.needs(spark, str(repo)).collect()}
+    assert (blob, tree, "a.txt") in wanted and {w[0] for w in wanted} == {blob}
+
+
+def test_choice_of_a_remote(repo):
+    assert store.remote_url(str(repo / ".git")) is None
+    git(repo, "remote", "add", "z", "https://z/x")
+    git(repo, "remote", "add", "b", "https://b/x")
+    assert store.remote_url(str(repo / ".git")) == "https://b/x"
+    git(repo, "remote", "add", "origin", "https://o/x")
+    assert store.remote_url(str(repo / ".git")) == "https://o/x"
+
+
 def test_missing_and_dangling(spark, repo):
     blob = git(repo, "rev-parse", "HEAD:a.txt").decode().strip()
     os.remove(repo / ".git/objects" / blob[:2] / blob[2:])
