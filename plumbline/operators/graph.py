@@ -16,22 +16,22 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.min("level").alias("level"))
 
 
-def _jumps(along: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ... where one comes from a node by 2^k links of a chain; each node has one next node at most."""
-    now = written(along.groupBy("src").agg(F.min("dst").alias("dst")).where("src <> dst"), "jumps")
-    out, most = [], now.count()
+def _jumps(links: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ... where one comes from a node by 2^k links (src, dst, far) of a chain; each node has one next node at most."""
+    now, out, most = links, [], links.count()
     while 1 << len(out) <= 2 * most:  # on a ring the jumps never run out
         out.append(now)
-        now = written(now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")), "jumps")
+        then = now.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("far").alias("more"))
+        now = written(now.join(then, "dst").select("src", F.col("to").alias("dst"), (F.col("far") + F.col("more")).alias("far")), "jumps")
         if now.isEmpty():
             break
     return out
 
 
-def _along(rows: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+def _doubled(rows: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """rows (node, level) and all that the chains behind them hold: a logarithm of joins in place of one a link."""
     for k, jump in reversed(list(enumerate(jumps))):
-        jumped = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), (F.col("level") + (1 << k)).alias("level")))
+        jumped = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), (F.col("level") + F.col("far")).alias("level")))
         both = rows.join(jump, F.col("node") == F.col("src"), "left").select(F.inline(F.array_compact(F.array(F.struct("node", "level"), jumped))))
         rows = _nearest(both)
         if k % 6 == 0:
@@ -39,16 +39,57 @@ def _along(rows: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     return rows
 
 
-def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, shallow: int = 16) -> DataFrame:
+class _Chains:
+    """Links (src, dst), one a node at most, contracted so that a walk along all of them moves each a bounded number of times.
+
+    A round takes nodes out of the chains, none of them next to another (those whose coin is 1
+    and whose next node's is 0, a quarter), and links what led to them to what they led to, with the
+    length of both.  The links shrink geometrically, so all rounds together cost a few times the
+    first; doubling all of them would move every link once for each doubling.  The last `few` are doubled.
+    """
+
+    def __init__(self, links: DataFrame, few: int):
+        self.rounds, now = [], links.withColumn("far", F.lit(1).cast("long"))
+        while now.count() > few:
+            coin = lambda c, k=len(self.rounds): F.pmod(F.xxhash64(F.lit(k), c), F.lit(2))
+            now = now.withColumn("out", (coin("src") == 1) & (coin("dst") == 0))
+            out = now.where("out").select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("far").alias("more"))
+            led = written(now.where("not out").select("src", "dst", "far").join(out, "dst", "left"), "contracted")
+            self.rounds.append((now, led.where("to is not null").select("src", "dst", "far")))
+            now = led.select("src", F.coalesce("to", "dst").alias("dst"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+            now = now.where("src <> dst")  # a ring that has come down to one node
+        self.jumps = _jumps(now)
+
+    def along(self, rows: DataFrame) -> DataFrame:
+        """rows (node, level), each node once, and all that the chains behind them hold."""
+        ends, taken = [], []  # a round's nodes without a link; its nodes taken out
+        for links, _ in self.rounds:  # what is known of a node that is taken out goes to the next one
+            met = written(rows.join(links, F.col("node") == F.col("src"), "left"), "passed")
+            ends.append(met.where("src is null").select("node", "level"))
+            taken.append(met.where("out").select("node", "level"))
+            passed = met.where("out").select(F.col("dst").alias("node"), (F.col("level") + F.col("far")).alias("level"))
+            rows = _nearest(met.where("not out").select("node", "level").unionByName(passed))
+        known = rest = _doubled(written(rows, "passed"), self.jumps)
+        found = None
+        for k in reversed(range(len(self.rounds))):  # and back, from the node before it
+            before = known.select(F.col("node").alias("src"), "level")
+            back = before.join(self.rounds[k][1], "src").select(F.col("dst").alias("node"), (F.col("level") + F.col("far")).alias("level"))
+            back = written(_nearest(back.unionByName(taken[k])), "back")
+            found = back if found is None else found.unionByName(back)
+            known, rest = known.unionByName(ends[k]).unionByName(back), rest.unionByName(ends[k])
+        return rest if found is None else _nearest(rest).unionByName(found)
+
+
+def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, shallow: int = 16, few: int = 1 << 18) -> DataFrame:
     """roots (node), edges (src, dst) -> (node, level): all that can be reached, and in how few steps.  Cycles are fine.
 
     The first `shallow` levels are walked one by one.  What lies deeper is reached through
-    chains: of every node one link (of `along`, if given, as the first parents of a history) is
-    doubled until the chains end, so a round passes a whole chain, and the number of rounds is
-    that of the changes from chain to chain on a way, whatever the depth.
+    chains: of every node one link (of `along`, if given, as the first parents of a history),
+    contracted and, the last `few`, doubled until the chains end, so a round passes a whole chain,
+    and the number of rounds is that of the changes from chain to chain on a way, whatever the depth.
     """
     frontier = written(roots.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "reach")
-    seen, jumps, level, left = frontier, None, 0, edges
+    seen, chains, level, left = frontier, None, 0, edges
     while not frontier.isEmpty():
         level += 1
         step = frontier.join(left, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
@@ -57,15 +98,19 @@ def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, sh
             seen = seen.unionByName(frontier)
             continue
         better = "_before is null or level < _before"
-        if jumps is None:
+        if chains is None:
             links = written((along if along is not None else edges).select("src", "dst").where("dst is not null"), "chains")
-            jumps, seen, step = _jumps(links), written(seen, "reached"), frontier
-            left = written(edges.join(jumps[0], ["src", "dst"], "left_anti"), "crossings") if jumps else edges  # chains are passed whole
+            first = written(links.groupBy("src").agg(F.min("dst").alias("dst")).where("src <> dst"), "chains")
+            crossed = along is not None or links.count() > first.count()
+            left = written(edges.join(first, ["src", "dst"], "left_anti"), "crossings") if crossed else None  # chains are passed whole
+            chains, seen, step = _Chains(first, few), written(seen, "reached"), frontier
             better = "_before is null or level <= _before"  # what has been reached last has not been left yet
-        found = _along(written(_nearest(step), "reach"), jumps)
+        found = chains.along(written(_nearest(step), "reach"))
         before = seen.select("node", F.col("level").alias("_before"))
         frontier = written(found.join(before, "node", "left").where(better).select("node", "level"), "reach")
         seen = written(_nearest(seen.unionByName(frontier)), "reached")
+        if left is None:
+            break
     return seen
 
 

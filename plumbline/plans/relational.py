@@ -593,11 +593,11 @@ def chain_root_depth(t):
 SELECT o_orderkey AS node, row_number() OVER (ORDER BY o_orderkey)::BIGINT - 1 AS level FROM orders
 """)
 def deep_chain_reach(t):
-    """All orders, each linked to the next: as deep as there are orders, and reached by doubling."""
+    """All orders, each linked to the next: as deep as there are orders, and reached through contracted chains."""
     at = links.positions(t("orders").select(F.col("o_orderkey").alias("node")), ["node"], "at")
     at = written(at, "chain")
     edges = at.join(at.select((F.col("at") - 1).alias("at"), F.col("node").alias("dst")), "at").select(F.col("node").alias("src"), "dst")
-    return graph.reach(at.where("at = 0").select("node"), edges)
+    return graph.reach(at.where("at = 0").select("node"), written(edges, "edges"))  # every level of the walk reads them
 
 
 @query("""

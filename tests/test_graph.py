@@ -29,6 +29,32 @@ def test_levels_are_those_of_a_walk_where_chains_meet(spark):
         assert {r["node"]: r["level"] for r in graph.reach(nodes(spark, 0), df, along, shallow=2).collect()} == want
 
 
+def test_contracted_chains_give_the_levels_of_a_walk(spark):
+    """Rings, chains that meet in trees, ends, and starts anywhere: as a walk of one link a step finds them."""
+    import random
+
+    rng = random.Random(5)
+    next_ = {i: i + 1 for i in range(120) if i % 41} | {i: rng.randint(0, 199) for i in range(120, 200) if i % 9}
+    next_ |= {300: 301, 301: 300, 310: 311, 311: 312, 312: 310, 320: 310} | {400 + i: 500 for i in range(30)} | {500: 501}
+    links = spark.createDataFrame([(s, d) for s, d in next_.items() if s != d], "src long, dst long")
+    starts = {n: rng.randint(0, 50) for n in [*rng.sample(range(200), 25), 300, 320, 311, 405, 406, 501, 999]}
+    want = dict(starts)
+    for n, level in starts.items():
+        while (n := next_.get(n)) is not None and (level := level + 1) < want.get(n, 1 << 60):
+            want[n] = level
+    chains = graph._Chains(links, 2)
+    assert len(chains.rounds) > 5
+    got = chains.along(spark.createDataFrame(list(starts.items()), "node long, level long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["level"] for r in got} == want
+
+
+def test_links_moved_by_contraction_stay_in_proportion(spark):
+    """All rounds together hold a few times the links there are; doubling would hold them once a doubling."""
+    links = spark.range(4000).selectExpr("id AS src", "id + 1 AS dst")
+    held = sum(now.count() for now, _ in graph._Chains(links, 50).rounds)
+    assert held < 6 * 4000
+
+
 def test_walks_of_nothing(spark):
     none, edges = spark.createDataFrame([], "node long"), spark.createDataFrame([], "src long, dst long")
     assert graph.reach(none, edges).count() == 0
