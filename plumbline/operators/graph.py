@@ -16,6 +16,26 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.min("level").alias("level"))
 
 
+_BITS = 26
+_FEW, _MANY = 1 << 16, 1 << 24
+
+
+def _sieved(rows: DataFrame, column: str, nodes: DataFrame, size: int) -> DataFrame:
+    """The rows whose column may be one of `size` nodes (node), so that a join with them does not shuffle all rows.
+
+    A node has a bit, by its hash; the bits are broadcast, a million words of 64 at most.  Only what cannot
+    match is dropped; the join that follows is exact.  So few nodes that Spark broadcasts them, or so
+    many that too many bits would be set, are joined as they are.
+    """
+    if not _FEW <= size <= _MANY:
+        return rows
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _BITS))
+    hashed = nodes.select(bit("node").alias("_bit")).select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("_set"))
+    words = written(hashed.groupBy("_word").agg(F.bit_or("_set").alias("_set")), "sieve")
+    met = rows.withColumn("_bit", bit(column)).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word")
+    return met.where("getbit(_set, cast(_bit & 63 as int)) = 1").select(*rows.columns)
+
+
 def _jumps(links: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ... where one comes from a node by 2^k links (src, dst, far) of a chain; each node has one next node at most."""
     now, out, most = links, [], links.count()
@@ -90,9 +110,9 @@ def reach(roots: DataFrame, edges: DataFrame, along: DataFrame | None = None, sh
     """
     frontier = written(roots.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "reach")
     seen, chains, level, left = frontier, None, 0, edges
-    while not frontier.isEmpty():
+    while size := frontier.count():
         level += 1
-        step = frontier.join(left, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
+        step = frontier.join(_sieved(left, "src", frontier, size), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
         if level < shallow:
             frontier = written(_nearest(step).join(seen.select("node"), "node", "left_anti"), "reach")
             seen = seen.unionByName(frontier)
@@ -165,7 +185,12 @@ def routes(damaged: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     Of several links into a node that from the source nearest to a root is taken, then the
     least, so each damaged node that can be reached has a route; one without a way from a
     root has no row.  A round goes one step nearer to the roots, as a route has that many steps.
+    Only links into what leads to damage are walked: all that a shortest way to it can hold.
     """
+    damaged = written(damaged.select("node"), "damaged")
+    above = reach(damaged, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    into = above.select(F.col("node").alias("dst"))
+    edges = written(_sieved(edges, "dst", above, above.count()).join(into, "dst", "left_semi").select("src", "dst"), "leading")
     near = reach(roots, edges).select(F.col("node").alias("src"), "level")
     up = edges.join(near, "src").groupBy(F.col("dst").alias("at")).agg(F.min(F.struct("level", "src")).alias("up")).select("at", F.col("up.src").alias("up"))
     walk = damaged.select("node", F.col("node").alias("at"), F.array("node").alias("route"))
