@@ -8,6 +8,7 @@ import pytest
 from plumbline.plans import formats
 
 SCHEMA = {
+    formats._reverse_index: ("grp long, ord long, pos long, fault string", 256),
     formats._commit_graph: ("grp long, pos long, oid string, tree string, parents string, generation long, date long", 64),
 }
 
