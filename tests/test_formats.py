@@ -10,6 +10,7 @@ from plumbline.plans import formats
 SCHEMA = {
     formats._reverse_index: ("grp long, ord long, pos long, fault string", 256),
     formats._reflog: ("grp long, line long, old string, new string, at long", 100),
+    formats._pack_index: ("grp long, pos long, oid string, off long, crc long, fault string", 256),
     formats._commit_graph: ("grp long, pos long, oid string, tree string, parents string, generation long, date long", 64),
 }
 
