@@ -2,11 +2,13 @@
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; those bytes never occur
 inside a multi-byte character, so words can be found on bytes.  Memory is bounded by
-the slice (SLICE bytes, or one document if that is longer).
+the slice (SLICE bytes, or one document if that is longer), and goes back to the system
+after each column: workers are reused, and one that waits would keep its largest slice's.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +89,19 @@ def windows(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another allocator than glibc's
+    _trim = None
+
+
+def give_back() -> None:
+    """Return what numpy and Arrow have freed to the system; both keep it for what comes next."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Slice:
     """Some whole documents: bytes, byte offsets, words by document."""
 
@@ -153,6 +168,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
         buf = raw[offs[i] : offs[j]]
         yield Slice(LOWER[buf] if lower else buf, offs[i : j + 1] - offs[i], i)
         i = j
+    give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -96,8 +96,9 @@ class Scratch:
         self.paths = []
 
 
-#: Bytes of an Arrow batch, unless the session sets its own: what a Python worker and the JVM hold of one at a time.
-ARROW_BYTES = 8 << 20
+#: Bytes of an Arrow batch, unless the session sets its own: what a Python worker holds of one at a time.  The JVM
+#: holds vectors and stream buffers for it, which grow by doubling, outside its heap.
+ARROW_BYTES = 2 << 20
 _BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 

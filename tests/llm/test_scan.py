@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -51,3 +54,40 @@ def test_long_documents_are_slices_of_their_own():
 def test_per_doc_and_ragged():
     assert ts.per_doc(np.array([1, 2, 3]), np.array([0, 0, 2, 3, 3])).tolist() == [0, 3, 3, 0]
     assert ts.ragged(np.array([5, 9]), np.array([2, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_a_worker_gives_its_memory_back_after_a_column():
+    code = """
+import os, re, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, sys.argv[1])
+from plumbline.llm import textscan as ts
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+column = pa.array(["a b"])
+list(ts.slices(column))
+before = held()
+large, small = [], []
+for _ in range(2000):  # freed, but between others: the allocator keeps it
+    large.append(np.ones(60_000, dtype=np.uint8))
+    small.append(np.ones(2_000, dtype=np.uint8))
+del large
+assert held() > before + 80, "nothing was kept"
+list(ts.slices(column))
+assert held() < before + 40, (before, held())
+"""
+    root = ts.__file__.rsplit("/plumbline/", 1)[0]
+    subprocess.run([sys.executable, "-c", code, root], check=True)
+
+
+def test_batches_are_small(spark):
+    """The JVM's buffers for a task are some times a batch: with 8 MB, two tasks and their workers held too much."""
+    from plumbline.shared import ship
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    mine = spark.newSession()
+    mine.conf.unset(name)
+    ship(mine)
+    assert int(mine.conf.get(name).rstrip("b")) <= 2 << 20
+    mine.conf.set(name, "5242880")
+    ship(mine)
+    assert mine.conf.get(name).rstrip("b") == "5242880"
